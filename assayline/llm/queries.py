@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
-from assayline.llm import linededup, urlfilter
-from assayline.llm.common import table
+from pyspark.sql import DataFrame, SparkSession
+
+from assayline.llm import bpe, linededup, tokenfile, urlfilter
+from assayline.llm.common import shared_folder, table
+
+
+def _op2(spark: SparkSession, root: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.bpe_query(table(spark, root, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def _op10(spark: SparkSession, root: str) -> DataFrame:
+    import public_tokenizers
+
+    return tokenfile.token_file_query(table(spark, root, "documents"), shared_folder(spark), public_tokenizers.path("byte_bpe_50k.json"))
+
 
 QUERIES = {
+    "op2_byte_bpe": _op2,
     "op8_line_dedup": lambda spark, root: linededup.line_dedup_query(table(spark, root, "documents")),
     "op9_url_filter": lambda spark, root: urlfilter.filter_urls(table(spark, root, "pages"), table(spark, root, "labels")),
+    "op10_token_file": _op10,
 }
 ORACLES = {
     "op8_line_dedup": linededup.ORACLE,
