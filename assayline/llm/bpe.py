@@ -267,3 +267,9 @@ def bpe_query(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+def encoded_corpus(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens, ids (binary) and whether the ids decode to the text's bytes."""
+    coded = decode(encode(docs.select("doc_id", "lang", "source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_sha")), rank_file, pattern), rank_file, pattern)
+    return coded.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("_sha")).alias("round_trip"))

@@ -78,6 +78,14 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     )
 
 
+def without_repeated_lines(docs: DataFrame) -> DataFrame:
+    """``docs`` with the same columns, repeated lines gone, and n_chars (where there is one) counted again."""
+    done = dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return done.select(*docs.columns)
+
+
 def line_dedup_query(docs: DataFrame) -> DataFrame:
     return dedup_lines(docs.select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
