@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayline.llm import bpe, decontaminate, linededup, simhash, tokenfile, toxicity, urlfilter
+from assayline.llm import bpe, decontaminate, linededup, repeats, simhash, tokenfile, toxicity, urlfilter
 from assayline.llm.common import shared_folder, table
 
 
@@ -24,6 +24,7 @@ QUERIES = {
     "op2_byte_bpe": _op2,
     "op3_simhash": lambda spark, root: simhash.simhash_query(table(spark, root, "documents")),
     "op5_decontamination": lambda spark, root: decontaminate.find_contamination(table(spark, root, "documents"), table(spark, root, "benchmark")),
+    "op6_repeated_bytes": lambda spark, root: repeats.repeats_query(table(spark, root, "documents")),
     "op7_toxicity": lambda spark, root: toxicity.toxicity_query(table(spark, root, "documents"), table(spark, root, "labels")),
     "op8_line_dedup": lambda spark, root: linededup.line_dedup_query(table(spark, root, "documents")),
     "op9_url_filter": lambda spark, root: urlfilter.filter_urls(table(spark, root, "pages"), table(spark, root, "labels")),
