@@ -35,7 +35,7 @@ DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 BLOCK_BYTES = 4 << 20
 BLOCK_CHARS = 1_000_000
-REMEMBERED = 150_000
+REMEMBERED = 250_000
 
 BLOCK_SCHEMA = "part int, block int, dict_hash string, first_start long, n_tokens long, doc_ids array<long>, counts array<int>, offsets array<int>, data binary"
 
@@ -44,8 +44,9 @@ class Encoder:
     """The tokenizers library with a memory of words.
 
     For byte-level BPE without normalizer, a single space between two non-space characters always starts a new piece,
-    so a text without runs of white space is the sequence of its space-separated words. New words go to the library
-    together, kept apart by its own special token; any other text, and any other kind of tokenizer, goes to it whole.
+    so a text without runs of white space is the sequence of its space-separated words. New words go to the library in
+    one line; the tokens that begin with the space part its ids again. Any other text, and any other kind of tokenizer,
+    goes to it whole.
     """
 
     _runs = re.compile(r"\s\s|^\s|\s\Z")
@@ -62,6 +63,9 @@ class Encoder:
         pre, special = made.get("pre_tokenizer") or {}, [t for t in made.get("added_tokens", []) if t["special"]]
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not made.get("normalizer")
         self.special = special[0] if plain and len(made["added_tokens"]) == 1 and special and not (special[0]["lstrip"] or special[0]["rstrip"] or special[0]["single_word"]) else None
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # the space, as byte-level vocabularies write it
         self.known: dict[str, bytes] = {}
         self.known_before: dict[str, bytes] = {}
 
@@ -96,10 +100,10 @@ class Encoder:
             missing -= again
         if missing:
             new = list(missing)
-            ids = self._library([" " + (self.special["content"] + " ").join(new)])[0]
-            cuts = np.flatnonzero(ids == self.special["id"]).tolist()
+            ids = self._library([" " + " ".join(new)])[0]
+            starts = np.flatnonzero(self.begins[ids]).tolist()
             blob = ids.tobytes()
-            self.known.update((w, blob[4 * a : 4 * b]) for w, a, b in zip(new, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True))
+            self.known.update((w, blob[4 * a : 4 * b]) for w, a, b in zip(new, starts, [*starts[1:], len(ids)], strict=True))
 
 
 _ENCODERS: dict[str, Encoder] = {}
