@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayline.llm import bpe, decontaminate, linededup, repeats, simhash, tokenfile, toxicity, urlfilter
+from assayline.llm import ann, bpe, decontaminate, linededup, repeats, simhash, tokenfile, toxicity, urlfilter
 from assayline.llm.common import shared_folder, table
 
 
@@ -23,6 +23,7 @@ def _op10(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     "op2_byte_bpe": _op2,
     "op3_simhash": lambda spark, root: simhash.simhash_query(table(spark, root, "documents")),
+    "op4_cross_polytope": lambda spark, root: ann.ann_query(table(spark, root, "embeddings")),
     "op5_decontamination": lambda spark, root: decontaminate.find_contamination(table(spark, root, "documents"), table(spark, root, "benchmark")),
     "op6_repeated_bytes": lambda spark, root: repeats.repeats_query(table(spark, root, "documents")),
     "op7_toxicity": lambda spark, root: toxicity.toxicity_query(table(spark, root, "documents"), table(spark, root, "labels")),
