@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayline.llm import ann, bpe, decontaminate, linededup, repeats, simhash, tokenfile, toxicity, urlfilter
+from assayline.llm import ann, bpe, chat, decontaminate, linededup, repeats, simhash, tokenfile, toxicity, urlfilter
 from assayline.llm.common import shared_folder, table
 
 
@@ -21,6 +21,7 @@ def _op10(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_chat_format": lambda spark, root: chat.chat_query(table(spark, root, "conversations")),
     "op2_byte_bpe": _op2,
     "op3_simhash": lambda spark, root: simhash.simhash_query(table(spark, root, "documents")),
     "op4_cross_polytope": lambda spark, root: ann.ann_query(table(spark, root, "embeddings")),
