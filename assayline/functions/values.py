@@ -39,6 +39,12 @@ def squeeze(c: Column) -> Column:
     return trim(F.regexp_replace(c, r"(?U)\s+", " "))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once. Inside the functions below, which call each other for every prefix
+    of a cell, an expression used in several places would otherwise be evaluated in each of them."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tokens(c: Column) -> Column:
     return F.filter(F.split(squeeze(c), " "), lambda t: t != "")
 
@@ -83,16 +89,22 @@ def _cell(kind: str, value=None, comparator=None, text=None) -> Column:
 
 def parse_cell(c: Column) -> Column:
     """A titer, a number with or without comparator, or a known word, in this order; else null."""
-    s = squeeze(c)
-    titer = F.regexp_extract(s, r"^1\s*:\s*([0-9]+)$", 1)
-    compared = F.regexp_extract(s, f"(?i)^{COMPARATOR}", 1)
-    has = compared != ""
-    number = parse_number(F.when(has, F.regexp_replace(s, f"(?i)^{COMPARATOR}\\s*", "")).otherwise(s))
-    return (
-        F.when(titer != "", _cell("titer", text=F.concat(F.lit("1:"), titer.try_cast("decimal(38,0)").cast("string"))))
-        .when(number.isNotNull(), _cell("quantity", number, F.when(has, normalize_comparator(compared))))
-        .when(~has & is_known_qualitative(s), _cell("qualitative", text=qualitative_case(s)))
-    )
+
+    def of(s: Column) -> Column:
+        titer = F.regexp_extract(s, r"^1\s*:\s*([0-9]+)$", 1)
+        return F.when(titer != "", _cell("titer", text=F.concat(F.lit("1:"), titer.try_cast("decimal(38,0)").cast("string")))).otherwise(
+            let(F.regexp_extract(s, f"(?i)^{COMPARATOR}", 1), lambda compared: other(s, compared))
+        )
+
+    def other(s: Column, compared: Column) -> Column:
+        has = compared != ""
+        number = parse_number(F.when(has, F.regexp_replace(s, f"(?i)^{COMPARATOR}\\s*", "")).otherwise(s))
+        return let(
+            number,
+            lambda n: F.when(n.isNotNull(), _cell("quantity", n, F.when(has, normalize_comparator(compared)))).when(~has & is_known_qualitative(s), _cell("qualitative", text=qualitative_case(s))),
+        )
+
+    return let(squeeze(c), of)
 
 
 def parse_titer(c: Column) -> Column:
@@ -107,22 +119,28 @@ def parse_flag(c: Column) -> Column:
 
 def parse_range(c: Column) -> Column:
     """struct<low, high, qualitative>: a closed range, a one-sided one (strictness is dropped) or a known word; else null."""
-    s = squeeze(c)
-    s = F.when(s.startswith("(") & s.endswith(")") & (F.length(s) > 1), trim(F.substring(s, F.lit(2), F.length(s) - 2))).otherwise(s)
     between = f"(?i)^({NUMBER})(?: ?[-–] ?| to )({NUMBER})$"
-    low, high = (F.regexp_extract(s, between, k).try_cast("double") for k in (1, 2))
-    compared = F.regexp_extract(s, f"(?i)^{COMPARATOR}", 1)
-    bound = parse_number(F.regexp_replace(s, f"(?i)^{COMPARATOR}\\s*", ""))
-    upper = normalize_comparator(compared).isin("<", "<=")
 
     def made(a=None, b=None, q=None) -> Column:
         return F.struct((F.lit(None) if a is None else a).cast("double").alias("low"), (F.lit(None) if b is None else b).cast("double").alias("high"), (F.lit(None) if q is None else q).cast("string").alias("qualitative"))
 
-    return (
-        F.when(s.rlike(between), F.when(low <= high, made(low, high)))
-        .when(compared != "", F.when(bound.isNotNull(), made(F.when(~upper, bound), F.when(upper, bound))))
-        .when(is_known_qualitative(s), made(q=qualitative_case(s)))
-    )
+    def bare(s: Column) -> Column:
+        return F.when(s.startswith("(") & s.endswith(")") & (F.length(s) > 1), trim(F.substring(s, F.lit(2), F.length(s) - 2))).otherwise(s)
+
+    def one_sided(s: Column, compared: Column) -> Column:
+        bound = parse_number(F.regexp_replace(s, f"(?i)^{COMPARATOR}\\s*", ""))
+        upper = normalize_comparator(compared).isin("<", "<=")
+        return let(bound, lambda n: F.when(n.isNotNull(), made(F.when(~upper, n), F.when(upper, n))))
+
+    def of(s: Column) -> Column:
+        low, high = (F.regexp_extract(s, between, k).try_cast("double") for k in (1, 2))
+        return (
+            F.when(s.rlike(between), F.when(low <= high, made(low, high)))
+            .when(s.rlike(f"(?i)^{COMPARATOR}"), let(F.regexp_extract(s, f"(?i)^{COMPARATOR}", 1), lambda compared: one_sided(s, compared)))
+            .when(is_known_qualitative(s), made(q=qualitative_case(s)))
+        )
+
+    return let(squeeze(c), lambda s: let(bare(s), of))
 
 
 def _longest_prefix(words: Column, parse) -> Column:
@@ -135,22 +153,28 @@ def _longest_prefix(words: Column, parse) -> Column:
 def split_value_cell(c: Column) -> Column:
     """struct<cell, value, unit, flag>: flags are taken out from the second token on, then the longest prefix that is a
     value is the value and the rest its unit."""
-    words = tokens(c)
-    flags = F.filter(words, lambda t, i: (i > 0) & t.rlike(FLAG_TOKEN))
-    kept = F.filter(words, lambda t, i: (i == 0) | ~t.rlike(FLAG_TOKEN))
-    best = _longest_prefix(kept, parse_cell)
-    n = F.size(kept)
-    rest = F.when(best["k"] < n, F.array_join(F.slice(kept, best["k"] + 1, n), " "))
-    value = F.when(best.isNotNull(), F.array_join(F.slice(kept, F.lit(1), F.coalesce(best["k"], F.lit(1))), " ")).otherwise(F.array_join(kept, " "))
-    return F.struct(best["found"].alias("cell"), value.alias("value"), rest.alias("unit"), F.when(F.size(flags) > 0, F.array_join(flags, " ")).alias("flag"))
+
+    def of(kept: Column, flags: Column, best: Column) -> Column:
+        n = F.size(kept)
+        rest = F.when(best["k"] < n, F.array_join(F.slice(kept, best["k"] + 1, n), " "))
+        value = F.when(best.isNotNull(), F.array_join(F.slice(kept, F.lit(1), F.coalesce(best["k"], F.lit(1))), " ")).otherwise(F.array_join(kept, " "))
+        return F.struct(best["found"].alias("cell"), value.alias("value"), rest.alias("unit"), F.when(F.size(flags) > 0, F.array_join(flags, " ")).alias("flag"))
+
+    def parts(words: Column) -> Column:
+        flags = F.filter(words, lambda t, i: (i > 0) & t.rlike(FLAG_TOKEN))
+        kept = F.filter(words, lambda t, i: (i == 0) | ~t.rlike(FLAG_TOKEN))
+        return let(kept, lambda k: let(flags, lambda f: let(_longest_prefix(k, parse_cell), lambda best: of(k, f, best))))
+
+    return let(tokens(c), parts)
 
 
 def split_range_cell(c: Column) -> Column:
     """struct<low, high, unit>: the longest prefix that is a range, the rest its unit; a word is no range; with no range
     at all the whole text is a unit."""
-    words = tokens(F.regexp_replace(c, r"(?i)\bsee note:?", ""))
-    best = _longest_prefix(words, parse_range)
-    n = F.size(words)
-    word = best["found"]["qualitative"].isNotNull()
-    rest = F.when(best.isNull() & (n > 0), F.array_join(words, " ")).when(~word & (best["k"] < n), F.array_join(F.slice(words, best["k"] + 1, n), " "))
-    return F.struct(F.when(~word, best["found"]["low"]).alias("low"), F.when(~word, best["found"]["high"]).alias("high"), rest.alias("unit"))
+
+    def of(words: Column, best: Column) -> Column:
+        n, word = F.size(words), best["found"]["qualitative"].isNotNull()
+        rest = F.when(best.isNull() & (n > 0), F.array_join(words, " ")).when(~word & (best["k"] < n), F.array_join(F.slice(words, best["k"] + 1, n), " "))
+        return F.struct(F.when(~word, best["found"]["low"]).alias("low"), F.when(~word, best["found"]["high"]).alias("high"), rest.alias("unit"))
+
+    return let(tokens(F.regexp_replace(c, r"(?i)\bsee note:?", "")), lambda words: let(_longest_prefix(words, parse_range), lambda best: of(words, best)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assayline.plans import matching
+from assayline.plans import cells, matching, tables  # noqa: F401  (each registers its queries)
 
 QUERIES = {**matching.QUERIES}
 ORACLES = {**matching.ORACLES}

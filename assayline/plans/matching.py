@@ -142,13 +142,13 @@ def draws(spark, root):
 
 @query(
     "q33_search",
-    """SELECT p_partkey AS code, round((CASE WHEN label = 'green' THEN 100 WHEN starts_with(label, 'green') THEN 50 WHEN contains(label, 'green') THEN 25 ELSE 0 END)
-+ (CASE WHEN contains(rest, 'green') THEN 10 ELSE 0 END) - length(label) / 100, 6) AS score
-FROM (SELECT p_partkey, lower(p_name) AS label, lower(p_brand || ' ' || p_type || ' ' || p_name) AS rest FROM part) WHERE contains(label || ' | ' || rest, 'green') ORDER BY score DESC, code LIMIT 20""",
+    """SELECT p_partkey AS code, round((CASE WHEN label = 'ring' THEN 100 WHEN starts_with(label, 'ring') THEN 50 WHEN contains(label, 'ring') THEN 25 ELSE 0 END)
++ (CASE WHEN contains(rest, 'ring') THEN 10 ELSE 0 END) - length(label) / 100, 6) AS score
+FROM (SELECT p_partkey, lower(p_name) AS label, lower(p_brand || ' ' || p_type || ' ' || p_name) AS rest FROM part) WHERE contains(label || ' | ' || rest, 'ring') ORDER BY score DESC, code LIMIT 20""",
 )
 def search(spark, root):
     entries = table(spark, root, "part").select(F.col("p_partkey").alias("code"), F.col("p_name").alias("label"), F.concat_ws(" ", "p_brand", "p_type", "p_name").alias("rest"))
-    return dictionary.search(entries, "green").select("code", "score")
+    return dictionary.search(entries, "ring").select("code", "score")
 
 
 _FROZEN = """
