@@ -164,11 +164,11 @@ def nearest(vectors: DataFrame, asks: Column, k: int, tables: int = TABLES, prob
     found = materialise(_search(points, k + 1, tables, max(probes, -(-128 * ENOUGH // max(n, 1))), n), "found", folder)
     total = points.agg(F.sum(F.size("ids"))).first()[0] or 0
     counted = found.join(points.select("point", F.size("ids").alias("n_ids")), "point").groupBy("query").agg(F.sum("n_ids").alias("n"))
-    starved = points.where("asks").join(counted.where(F.col("n") >= min(k + 1, total)), F.col("point") == F.col("query"), "left_anti").select("point")
+    starved = points.where("asks").join(counted.where(F.col("n") >= min(k + 1, total)), F.col("point") == F.col("query"), "left_anti").select(F.col("point").alias("hungry"))
     if starved.limit(1).count():
-        again = points.join(starved.withColumn("again", F.lit(True)), "point", "left").withColumn("asks", F.coalesce("again", F.lit(False)))
+        again = points.join(starved.withColumn("again", F.lit(True)), F.col("point") == F.col("hungry"), "left").withColumn("asks", F.coalesce("again", F.lit(False)))
         more = _search(again, k + 1, 1, 1 << 20, n)
-        found = found.join(starved, F.col("query") == F.col("point"), "left_anti").unionByName(more)
+        found = found.join(starved, F.col("query") == F.col("hungry"), "left_anti").unionByName(more)
     each = found.join(points.select("point", F.explode("ids").alias("vec_id")), "point").groupBy("query", "vec_id").agg(F.max("score").alias("score"))
     ranked = each.withColumn("place", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "vec_id"))).where(F.col("place") <= k + 1)
     lists = ranked.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("place", "vec_id", "score"))).alias("best"))

@@ -63,27 +63,26 @@ def dropped_positions(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
-    """``docs`` with ``text`` put together from the lines kept, plus n_lines and n_dropped."""
-    drops = dropped_positions(docs, min_chars, min_docs)
-    lines = lines_of(F.col("text"))
-    keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_positions"))
-    text = F.when(F.col("_positions").isNull(), F.coalesce("text", F.lit(""))).otherwise(
-        F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n")
-    )
-    return (
-        docs.withColumn("_text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-        .join(drops.withColumnsRenamed({"_doc": "_drop_doc", "_text_hash": "_drop_hash"}), (F.col("doc_id") == F.col("_drop_doc")) & (F.col("_text_hash") == F.col("_drop_hash")), "left")
-        .withColumns({"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size("_positions"), F.lit(0)).cast("long"), "text": text})
-        .drop("_text_hash", "_drop_hash", "_drop_doc", "_positions")
-    )
+    """``docs`` with ``text`` put together from the lines kept, plus n_lines and n_dropped (in place of columns so named)."""
+    drops = dropped_positions(docs.select("doc_id", "text"), min_chars, min_docs).select(F.struct("*").alias("_drop"))
+    row = docs.select(F.struct("*").alias("_row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_row_hash"))
+    lines, positions = lines_of(F.col("_row.text")), F.col("_drop._positions")
+    keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), positions)
+    text = F.when(positions.isNull(), F.coalesce("_row.text", F.lit(""))).otherwise(F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n"))
+    made = {"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size(positions), F.lit(0)).cast("long"), "text": text}
+    rest = [F.col("_row").getField(c).alias(c) for c in docs.columns if c not in made]
+    joined = row.join(drops, (F.col("_row.doc_id") == F.col("_drop._doc")) & (F.col("_row_hash") == F.col("_drop._text_hash")), "left")
+    return joined.select(*rest, *(c.alias(name) for name, c in made.items()))
 
 
 def without_repeated_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the same columns, repeated lines gone, and n_chars (where there is one) counted again."""
-    done = dedup_lines(docs)
-    if "n_chars" in docs.columns:
-        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return done.select(*docs.columns)
+    held = [F.col(c).alias(f"kept_{c}") for c in docs.columns if c not in ("doc_id", "text")]
+    done = dedup_lines(docs.select("doc_id", "text", *held))
+    columns = {c: F.col(c if c in ("doc_id", "text") else f"kept_{c}").alias(c) for c in docs.columns}
+    if "n_chars" in columns:
+        columns["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return done.select(*columns.values())
 
 
 def line_dedup_query(docs: DataFrame) -> DataFrame:
