@@ -15,7 +15,6 @@ probability is its smoothed base rate, and 0 with no labels at all; rows with a
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -32,7 +31,7 @@ MIN_DOCS = 3
 MIN_CHI2 = 19.5
 PREFIXES = (4, 5, 6)
 STEPS = 150
-L1 = 2e-4
+L1 = 5e-5
 REJECT_AT = 0.3
 
 _WORD = re.compile(r"\w+|[^\w\s]+")
@@ -103,23 +102,29 @@ def _fit_linear(rows: np.ndarray, cols: np.ndarray, n_cols: int, extra: np.ndarr
 
 def fit_chain(texts: list[str | None], labels: np.ndarray, names: list[str], folds: np.ndarray) -> Chain:
     """``labels`` has a column of 0 and 1 for each category; ``folds`` numbers the fold of each text."""
-    found = [features_of(words_of(t)) for t in texts]
+    numbers: dict[str, int] = {}
+    found = [np.array([numbers.setdefault(f, len(numbers)) for f in features_of(words_of(t))], dtype=np.int32) for t in texts]
+    all_rows = np.repeat(np.arange(len(texts)), [len(ids) for ids in found])
+    all_ids = np.concatenate([np.empty(0, dtype=np.int32), *found])
+    names_of = list(numbers)
+    del found, numbers
     n, chain = len(texts), Chain(names)
-    counts = Counter(f for s in found for f in s)
+    counts = np.bincount(all_ids, minlength=len(names_of))
     earlier = np.zeros((n, 0))
     for k in range(len(names)):
         y = labels[:, k].astype(float)
-        positive = Counter(f for s, yes in zip(found, y) if yes for f in s)
-        kept, p = [], y.mean() if n else 0.0
-        for f, c in counts.items():
-            if c >= MIN_DOCS and 0 < p < 1 and c < n:
-                a = positive.get(f, 0)
-                chi2 = (a - c * p) ** 2 * n / (c * (n - c) * p * (1 - p))
-                if chi2 >= MIN_CHI2:
-                    kept.append((-chi2, f))
-        chosen = {f: i for i, (_, f) in enumerate(sorted(kept)[:FEATURES])}
-        pairs = [(r, chosen[f]) for r, s in enumerate(found) for f in sorted(chosen.keys() & s)]
-        rows, cols = np.array(pairs, dtype=np.int64).reshape(-1, 2).T
+        p = y.mean() if n else 0.0
+        kept: list[tuple[float, str, int]] = []
+        if 0 < p < 1:
+            able = np.flatnonzero((counts >= MIN_DOCS) & (counts < n))
+            c, a = counts[able], np.bincount(all_ids, weights=y[all_rows], minlength=len(names_of))[able]
+            chi2 = (a - c * p) ** 2 * n / (c * (n - c) * p * (1 - p))
+            kept = [(-x, names_of[i], i) for x, i in zip(chi2[chi2 >= MIN_CHI2].tolist(), able[chi2 >= MIN_CHI2].tolist())]
+        chosen = {f: i for i, (_, f, _) in enumerate(sorted(kept)[:FEATURES])}
+        column = np.full(len(names_of), -1)
+        column[[i for _, _, i in sorted(kept)[:FEATURES]]] = np.arange(len(chosen))
+        cols = column[all_ids] if len(names_of) else np.empty(0, dtype=np.int64)
+        rows, cols = all_rows[cols >= 0], cols[cols >= 0]
         w, e, b = _fit_linear(rows, cols, len(chosen), earlier, y)
         chain.weights.append({f: float(w[i]) for f, i in chosen.items() if w[i]})
         chain.carried.append(e.tolist())
