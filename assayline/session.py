@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +30,19 @@ def local_session(cpus: int | str = 8, name: str = "assayline", **extra: str) ->
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """The parquet table ``name`` under ``root``; only Spark's reader touches the path."""
     return spark.read.parquet(f"{root}/{name}.parquet")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, as ``--py-files`` would, once for each context. Where they can import it
+    already (same folder, PYTHONPATH) this changes nothing."""
+    context = spark.sparkContext
+    if getattr(context, "_assayline_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    if home.is_dir():
+        packed = Path(tempfile.mkdtemp(prefix="assayline-")) / "assayline.zip"
+        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+            for file in sorted(home.rglob("*.py")):
+                archive.write(file, Path(home.name) / file.relative_to(home))
+        context.addPyFile(str(packed))
+    context._assayline_shipped = True
