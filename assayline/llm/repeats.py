@@ -4,11 +4,10 @@ A string of LENGTH bytes has an anchor: the leftmost of its grams (GRAM bytes) w
 have equal anchors, so it is enough to compare, gram by gram, the pieces of text around anchors; a piece holds every
 such string around its anchor. Grams that occur once, nine in ten, never leave the first pass.
 
-Within a gram, equal pieces repeat as a whole. Distinct ones go into an enhanced suffix array: prefix doubling orders
-the suffixes, ranks of doubled lengths give the common prefixes, and a stack scan builds the tree of common-prefix
-intervals. An interval of at least LENGTH bytes whose suffixes have diverse left neighbours is a maximal repeat; all
-its occurrences, not just neighbouring ones, get covered to its length. What two anchors of one text see at one place
-is no repeat.
+Within a gram, equal pieces repeat as a whole. Distinct ones go into an enhanced suffix array of the suffixes that start
+at the anchors: sorted, with common prefixes. A stack scan builds the tree of common-prefix intervals. The suffixes of
+an interval part by their left extension; those that still have LENGTH bytes in common are all the occurrences of one
+repeat, not just neighbouring ones, and get covered as far as it goes.
 
 Two passes read the texts. The first counts grams. Their repeated ones, hashed to a bit field of fixed size, thin out
 the second pass, which carries pieces to their grams; the bit field only saves work, the counts are taken again there.
@@ -19,6 +18,7 @@ texts of their own (and so lose what they share); rows with a null doc_id take p
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +32,8 @@ LENGTH = 200
 GRAM = 32
 FILTER_BITS = 26
 BATCH_PIECES = 12_000
+MEMBERS_AT_ONCE = 1_000_000
+SENT_PIECES = 300_000
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BLOCK = 1 << 20
@@ -106,99 +108,116 @@ def pieces_of(data: bytes, length: int = LENGTH) -> tuple[list[tuple[int, int, i
     return rows, spans
 
 
-class PieceArray:
-    """The enhanced suffix array over the distinct pieces of some grams."""
-
-    def __init__(self, pieces: list[bytes], family: np.ndarray, length: int):
-        self.length, self.family = length, family
-        self.sizes = np.array([len(p) for p in pieces], dtype=np.int64)
-        self.width = int(self.sizes.max())
-        self.text = np.frombuffer(b"".join(p.ljust(self.width, b"\0") for p in pieces), dtype=np.uint8).reshape(len(pieces), self.width)
-        self.ranks: dict[int, np.ndarray] = {}
-        self._double()
-
-    def _shift(self, ranks: np.ndarray, by: int) -> np.ndarray:
-        moved = np.zeros_like(ranks)
-        if by < self.width:
-            moved[:, : self.width - by] = ranks[:, by:]
-        return moved
-
-    def _double(self) -> None:
-        key = np.zeros(self.text.shape, dtype=np.uint64)
-        for k in range(8):
-            key = (key << np.uint64(8)) | self._shift(self.text, k).astype(np.uint64)
-        size = 8
-        while True:
-            self.ranks[size] = np.unique(key, return_inverse=True)[1].reshape(key.shape).astype(np.uint64) + np.uint64(1)
-            if 2 * size > self.length:
-                break
-            key = (self.ranks[size] << np.uint64(32)) | self._shift(self.ranks[size], size)
-            size *= 2
-        self.top = size
-
-    def order(self) -> tuple[np.ndarray, np.ndarray]:
-        """(piece, offset) of the suffixes with ``length`` bytes or more, in suffix order within each gram."""
-        piece, offset = np.nonzero(np.arange(self.width) <= (self.sizes - self.length)[:, None])
-        keys, at = [], 0
-        while at < self.width:
-            place = offset + at
-            keys.append(np.where(place < self.width, self.ranks[self.top][piece, np.minimum(place, self.width - 1)], 0))
-            at += self.top
-        order = np.lexsort([*keys[::-1], self.family[piece]])
-        return piece[order], offset[order]
-
-    def common(self, piece: np.ndarray, offset: np.ndarray) -> np.ndarray:
-        """Bytes that each suffix has in common with the next one in order; 0 across grams."""
-        p, q, a, b = piece[:-1], piece[1:], offset[:-1], offset[1:]
-        limit = np.minimum(self.sizes[p] - a, self.sizes[q] - b)
-        same = np.zeros(len(p), dtype=np.int64)
-        last = self.width - 1
-        steps = [self.top] * (self.width // self.top) + [s for s in sorted(self.ranks, reverse=True) if s < self.top]
-        for size in steps:
-            ranks, fits = self.ranks[size], same + size <= limit
-            equal = ranks[p, np.minimum(a + same, last)] == ranks[q, np.minimum(b + same, last)]
-            same += size * (fits & equal)
-        for _ in range(7):
-            same += (same < limit) & (self.text[p, np.minimum(a + same, last)] == self.text[q, np.minimum(b + same, last)])
-        same[self.family[p] != self.family[q]] = 0
-        return same
-
-
-def maximal_repeats(pieces: list[bytes], family: np.ndarray, place: list[int | None], length: int = LENGTH) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """(bytes, [(piece, offset), ...]) of every maximal repeat of at least ``length`` bytes within a family of pieces.
-
-    ``place`` is where the piece starts in the corpus, None if it has several places. An interval all of whose suffixes
-    are one place of the corpus is no repeat.
-    """
-    array = PieceArray(pieces, family, length)
-    piece, offset = array.order()
-    if len(piece) < 2:
-        return
-    lcp = array.common(piece, offset)
-    before = np.where(offset > 0, array.text[piece, np.maximum(offset - 1, 0)].astype(np.int64), -1 - piece)
-    linked = lcp >= length
-    edges = np.flatnonzero(np.diff(np.concatenate([[False], linked, [False]]).astype(np.int8)))
-    for start, end in zip(edges[::2].tolist(), edges[1::2].tolist()):  # suffixes start..end are one group of common prefixes
-        own = before[start : end + 1]
-        if (own == own[0]).all():
-            continue  # the group also has a byte on the left in common
-        yield from _scan(lcp[start:end].tolist(), own.tolist(), [(p, o) for p, o in zip(piece[start : end + 1].tolist(), offset[start : end + 1].tolist())], place, length)
-
-
-def _scan(lcp: list[int], before: list[int], suffixes: list[tuple[int, int]], place: list[int | None], length: int) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-    """The intervals of a group, by a stack of (common prefix, first suffix)."""
-    stack: list[tuple[int, int]] = []
-    for i, depth in enumerate([*lcp, 0]):
+def scan(lcp: list[int], least: int) -> list[tuple[int, int, int]]:
+    """(common prefix, first, last) of every interval of sorted strings with ``least`` or more in common, by a stack."""
+    out, stack = [], []
+    for i, depth in enumerate([*lcp, -1]):
         first = i
         while stack and stack[-1][0] > depth:
             size, first = stack.pop()
-            members = range(first, i + 1)
-            if any(before[m] != before[first] for m in members):
-                where = {-1 - p if place[p] is None else place[p] + o for p, o in (suffixes[m] for m in members)}
-                if len(where) > 1:
-                    yield size, [suffixes[m] for m in members]
-        if depth >= length and (not stack or stack[-1][0] < depth):
+            out.append((size, first, i))
+        if depth >= least and (not stack or stack[-1][0] < depth):
             stack.append((depth, first))
+    return out
+
+
+class AnchoredArray:
+    """The enhanced suffix array of the suffixes that start at the anchors of distinct pieces, by family (gram).
+
+    ``text`` holds a piece per row, anchors under one another; ``left`` and ``right`` say how much of a row is text
+    before and from the anchor on. Equal strings have equal anchors, so pieces need comparing in this alignment only,
+    and two of a family never are one place of the corpus.
+    """
+
+    def __init__(self, text: np.ndarray, left: np.ndarray, right: np.ndarray, family: np.ndarray, windows: np.ndarray, length: int):
+        self.text, self.left, self.right, self.windows, self.length = text, left, right, windows, length
+        self.anchor = length - GRAM
+        suffixes = [(f, row[:n].tobytes()) for f, row, n in zip(family.tolist(), text[:, self.anchor :], right.tolist())]
+        self.order = np.array(sorted(range(len(suffixes)), key=suffixes.__getitem__), dtype=np.int64)
+        a, b = self.order[:-1], self.order[1:]
+        equal = text[a, self.anchor :] == text[b, self.anchor :]
+        common = np.where(equal.all(axis=1), equal.shape[1], equal.argmin(axis=1)) if len(a) else np.empty(0, dtype=np.int64)
+        self.lcp = np.where(family[a] == family[b], np.minimum(common, np.minimum(right[a], right[b])), 0)
+
+    def intervals(self) -> np.ndarray:
+        """(common prefix, first, last) of the interval tree's nodes with a gram or more in common."""
+        return np.array(scan(self.lcp.tolist(), GRAM), dtype=np.int64).reshape(-1, 3)
+
+    def groups(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(node, member, depth) of every occurrence of a repeat, sorted by node and left extension.
+
+        A node's suffixes part by what stands left of them: those that have the string of ``length`` bytes in common
+        that ends with the node's common prefix are occurrences of one repeat.
+        """
+        nodes = self.intervals()
+        sizes = nodes[:, 2] - nodes[:, 1] + 1
+        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // MEMBERS_AT_ONCE)) + 1).tolist(), len(nodes)]
+        for x, y in zip(cuts, cuts[1:]):
+            n = sizes[x:y]
+            node = np.repeat(np.arange(x, y), n)
+            member = self.order[np.repeat(nodes[x:y, 1] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            depth = nodes[node, 0]
+            has = self.left[member] >= self.length - depth
+            node, member, depth = node[has], member[has], depth[has]
+            mark = self.windows[member, depth - GRAM]
+            by = np.lexsort([mark, node])
+            node, member, depth, mark = node[by], member[by], depth[by], mark[by]
+            same = (node[1:] == node[:-1]) & (mark[1:] == mark[:-1])
+            at = np.flatnonzero(same)
+            for k in range(0, len(at), 4096):  # the marks are hashes: compare the strings themselves
+                some = at[k : k + 4096]
+                columns = (depth[some] - GRAM)[:, None] + np.arange(self.length)
+                same[some] = (self.text[member[some][:, None], columns] == self.text[member[some + 1][:, None], columns]).all(axis=1)
+            shared = np.append(same, False) | np.append(False, same)
+            yield node[shared], member[shared], depth[shared]
+
+    def ends(self) -> np.ndarray:
+        """The column where each piece's longest repeat ends, 0 if it has none."""
+        out = np.zeros(len(self.text), dtype=np.int64)
+        for _, member, depth in self.groups():
+            np.maximum.at(out, member, self.anchor + depth)
+        return out
+
+
+def _aligned(pieces: list[bytes], left: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, right, windows): the rows of an anchored array, and the hash of each string of ``length`` bytes."""
+    anchor, width = length - GRAM, 2 * length - GRAM
+    text = np.frombuffer(b"".join((b"\0" * (anchor - n) + p).ljust(width, b"\0") for p, n in zip(pieces, left.tolist())), dtype=np.uint8).reshape(len(pieces), width)
+    right = np.array([len(p) for p in pieces], dtype=np.int64) - left
+    up, down = _powers(width)
+    total = np.zeros((len(pieces), width + 1), dtype=np.uint64)
+    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * up, axis=1, out=total[:, 1:])
+    return text, right, (total[:, length:] - total[:, : width - length + 1]) * down[: width - length + 1]
+
+
+def repeat_extents(pieces: list[bytes], left: np.ndarray, family: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) within each piece of what repeats in its family, (0, 0) without any. The ends come from the array of
+    the texts from the anchor on, the starts from the array of the texts read backwards."""
+    text, right, windows = _aligned(pieces, left, length)
+    end = AnchoredArray(text, left, right, family, windows, length).ends()
+    back = AnchoredArray(np.ascontiguousarray(text[:, ::-1]), right - GRAM, left + GRAM, family, windows[:, ::-1], length).ends()
+    shift = length - GRAM - left
+    return np.where(end > 0, text.shape[1] - back - shift, 0), np.where(end > 0, end - shift, 0)
+
+
+def maximal_repeats(pieces: list[bytes], left: np.ndarray, family: np.ndarray, length: int = LENGTH) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """(bytes, [(piece, offset), ...]) of every maximal repeat: all occurrences in the family, which go on differently
+    on both sides."""
+    text, right, windows = _aligned(pieces, left, length)
+    array = AnchoredArray(text, left, right, family, windows, length)
+    for node, member, depth in array.groups():
+        mark = windows[member, depth - GRAM].view(np.int64)
+        cuts = [0, *(np.flatnonzero((np.diff(node) != 0) | (np.diff(mark) != 0)) + 1).tolist(), len(node)]
+        for a, b in zip(cuts, cuts[1:]):
+            size = int(depth[a])
+            before = {p: text[p, array.anchor - left[p] : array.anchor][::-1].tobytes() for p in member[a:b].tolist()}
+            after = {p: int(text[p, array.anchor + size]) if right[p] > size else -1 - p for p in before}
+            own = sorted(before, key=before.__getitem__)
+            common = [len(os.path.commonprefix([before[p], before[q]])) for p, q in zip(own, own[1:])]
+            for extra, first, last in scan(common, length - size):
+                members = own[first : last + 1]
+                if len({after[p] for p in members}) > 1:
+                    yield extra + size, [(p, int(left[p]) - extra) for p in sorted(members)]
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -228,13 +247,13 @@ def bit_field(values: DataFrame) -> np.ndarray:
     return field
 
 
-PIECE_SCHEMA = "gram long, piece long, _d long, _t long, start long, size int, bytes binary"
+PIECE_SCHEMA = "gram long, piece long, _d long, _t long, start long, size int, left int, bytes binary"
 SPAN_SCHEMA = "_d long, _t long, start long, end long"
 
 
 def carried_pieces(docs: DataFrame, grams: DataFrame, length: int = LENGTH) -> DataFrame:
-    """The pieces whose gram may repeat, with their bytes where they may differ; spans that repeat within a text have
-    no gram."""
+    """The pieces whose gram may repeat, from each task at least once with their bytes where they may differ; spans that
+    repeat within a text have no gram."""
     session = docs.sparkSession.sparkContext
     repeated, mixed = session.broadcast(bit_field(grams)), session.broadcast(bit_field(grams.where("mixed")))  # 8 MB each, fixed
 
@@ -243,18 +262,24 @@ def carried_pieces(docs: DataFrame, grams: DataFrame, length: int = LENGTH) -> D
             bits = values.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
             return ((field[(bits >> np.uint64(6)).astype(np.int64)] >> (bits & np.uint64(63)).astype(np.int64)) & 1).astype(bool).tolist()
 
+        sent: set[tuple[int, int]] = set()  # the bytes of a piece go out once from a task, as a rule
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
                 part, out = batch.slice(at, 128), []
+                if len(sent) > SENT_PIECES:
+                    sent.clear()
                 for d, t, data in zip(*(part.column(c).to_pylist() for c in ("_d", "_t", "_bytes"))):
                     rows, spans = pieces_of(data, length)
-                    out += [(None, None, d, t, a, b - a, None) for a, b in spans]
+                    out += [(None, None, d, t, a, b - a, 0, None) for a, b in spans]
                     values = np.array([r[0] for r in rows], dtype=np.int64)
                     for (gram, piece, place), keep, differs in zip(rows, marked(repeated.value, values), marked(mixed.value, values)):
                         if keep:
                             a, b = max(0, place - length + GRAM), min(len(data), place + length)
-                            out.append((gram, piece, d, t, a, b - a, data[a:b] if differs else None))
-                columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate((*[pa.int64()] * 5, pa.int32(), pa.binary()))]
+                            new = differs and (gram, piece) not in sent
+                            if new:
+                                sent.add((gram, piece))
+                            out.append((gram, piece, d, t, a, b - a, place - a, data[a:b] if new else None))
+                columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate((*[pa.int64()] * 5, pa.int32(), pa.int32(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in PIECE_SCHEMA.split(", ")])
 
     return _keyed(docs).mapInArrow(run, PIECE_SCHEMA)
@@ -264,27 +289,23 @@ def spans_of(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
     """(_d, _t, start, end) of everything that repeats."""
 
     def solve(families: list[dict[int, list]]) -> list[tuple[int, int, int, int]]:
-        out, data, family, place, owner, texts = [], [], [], [], [], {}
+        out, data, left, family, owner = [], [], [], [], []
         for number, members in enumerate(families):
             for piece in members.values():
-                at, content, size = piece
+                at, content, size, before = piece
                 if len(at) > 1:
                     out += [(d, t, a, a + size) for d, t, a in at]
                 if len(members) > 1 and content is not None and size >= length:
                     data.append(content)
+                    left.append(before)
                     family.append(number)
-                    d, t, a = at[0]
-                    place.append(None if len(at) > 1 else (texts.setdefault((d, t), len(texts)) << 40) + a)
-                    owner.append(piece)
+                    owner.append(at)
         if data:
-            covered: dict[tuple[int, int], int] = {}
-            for size, suffixes in maximal_repeats(data, np.array(family), place, length):
-                for p, o in suffixes:
-                    if place[p] is not None:
-                        covered[p, o] = max(size, covered.get((p, o), 0))
-            for (p, o), size in covered.items():
-                d, t, a = owner[p][0][0]
-                out.append((d, t, a + o, a + o + size))
+            starts, ends = repeat_extents(data, np.array(left, dtype=np.int64), np.array(family, dtype=np.int64), length)
+            for i in np.flatnonzero(ends).tolist():
+                if len(owner[i]) == 1:
+                    d, t, a = owner[i][0]
+                    out.append((d, t, a + int(starts[i]), a + int(ends[i])))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -295,7 +316,7 @@ def spans_of(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=names)
 
         for batch in batches:
-            for gram, piece, d, t, a, size, content in zip(*(batch.column(k).to_pylist() for k in range(7))):
+            for gram, piece, d, t, a, size, before, content in zip(*(batch.column(k).to_pylist() for k in range(8))):
                 if gram != last:
                     if current and (len(current) > 1 or len(next(iter(current.values()))[0]) > 1):
                         families.append(current)
@@ -304,8 +325,10 @@ def spans_of(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
                         yield emit(solve(families))
                         families, held = [], 0
                     current, last = {}, gram
-                known = current.setdefault(piece, [[], content, size])
+                known = current.setdefault(piece, [[], content, size, before])
                 known[0].append((d, t, a))
+                if known[1] is None:
+                    known[1] = content
         if current:
             families.append(current)
         yield emit(solve(families))
