@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assayline.llm.common import text_blocks
+
 NONE = np.int32(2**31 - 1)
 LONG_PIECE = 512
 WIDTHS = (2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 32, 48, 64, 96, 128, 192, 256, 384, LONG_PIECE)
@@ -28,8 +30,36 @@ CLASS_OF = [next(w for w in WIDTHS if w >= n) for n in range(LONG_PIECE + 1)]
 #: Cells of one matrix, pieces looked at together, characters of a block of documents, pieces remembered by a worker.
 MATRIX_CELLS = 1 << 19
 PIECES_AT_ONCE = 250_000
-BLOCK_CHARS = 1_000_000
-REMEMBERED = 150_000
+IDS_AT_ONCE = 250_000
+BLOCK_CHARS = 500_000
+REMEMBERED = 120_000
+
+
+def read_ranks(rank_file: str) -> dict[bytes, int]:
+    with open(rank_file, "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines)}
+
+
+class TokenBytes:
+    """The bytes of every id, all that decoding needs."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.length = np.array([len(t) for t in tokens], dtype=np.int64)
+        self.start = np.concatenate([[0], np.cumsum(self.length)[:-1]])
+        self.bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
+
+    def decode(self, ids: bytes) -> bytes:
+        parts, numbers = [], np.frombuffer(ids, dtype="<u4")
+        for at in range(0, len(numbers), IDS_AT_ONCE):
+            block = numbers[at : at + IDS_AT_ONCE]
+            lengths = self.length[block]
+            ends = np.cumsum(lengths)
+            shift = np.repeat(self.start[block] - (ends - lengths), lengths)
+            parts.append(self.bytes[shift + np.arange(len(shift))].tobytes())
+        return b"".join(parts)
 
 
 class RankModel:
@@ -38,16 +68,8 @@ class RankModel:
     def __init__(self, rank_file: str, pattern: str):
         import regex
 
-        with open(rank_file, "rb") as lines:
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines)}
+        self.ranks = read_ranks(rank_file)
         self.pattern = regex.compile(pattern)
-        size = max(self.ranks.values()) + 1
-        tokens = [b""] * size
-        for token, rank in self.ranks.items():
-            tokens[rank] = token
-        self.token_length = np.array([len(t) for t in tokens], dtype=np.int64)
-        self.token_start = np.concatenate([[0], np.cumsum(self.token_length)[:-1]])
-        self.token_bytes = np.frombuffer(b"".join(tokens), dtype=np.uint8)
         self.of_byte = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
         pairs = [
             (left, right, rank)
@@ -192,18 +214,9 @@ class RankModel:
         new = list(missing)
         self.known.update(zip(new, self.encode_pieces([p.encode() for p in new])))
 
-    def decode(self, ids: bytes) -> bytes:
-        parts, numbers = [], np.frombuffer(ids, dtype="<u4")
-        for at in range(0, len(numbers), PIECES_AT_ONCE):
-            block = numbers[at : at + PIECES_AT_ONCE]
-            lengths = self.token_length[block]
-            ends = np.cumsum(lengths)
-            shift = np.repeat(self.token_start[block] - (ends - lengths), lengths)
-            parts.append(self.token_bytes[shift + np.arange(len(shift))].tobytes())
-        return b"".join(parts)
-
 
 _MODELS: dict[tuple[str, str], RankModel] = {}
+_TOKENS: dict[str, TokenBytes] = {}
 
 
 def model(rank_file: str, pattern: str) -> RankModel:
@@ -213,17 +226,10 @@ def model(rank_file: str, pattern: str) -> RankModel:
     return _MODELS[rank_file, pattern]
 
 
-def blocks(texts: list[str | None], chars: int = BLOCK_CHARS) -> Iterator[list[str]]:
-    """Runs of texts (null: empty) of about ``chars`` characters together."""
-    block, size = [], 0
-    for text in texts:
-        block.append(text or "")
-        size += len(block[-1])
-        if size >= chars:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
+def token_bytes(rank_file: str) -> TokenBytes:
+    if rank_file not in _TOKENS:
+        _TOKENS[rank_file] = TokenBytes(read_ranks(rank_file))
+    return _TOKENS[rank_file]
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -235,7 +241,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", id
         bpe = model(rank_file, pattern)
         for batch in batches:
             at = 0
-            for block in blocks(batch.column(text).to_pylist()):
+            for block in text_blocks(batch.column(text), BLOCK_CHARS):
                 part = batch.slice(at, len(block))
                 at += len(block)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(bpe.encode_texts(block), pa.binary())], names=[*rest, ids])
@@ -243,24 +249,24 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", id
     return docs.select(*rest, text).mapInArrow(run, schema)
 
 
-def decode(encoded: DataFrame, rank_file: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+def decode(encoded: DataFrame, rank_file: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """``encoded`` with the binary column ``decoded``: the bytes that the ids stand for."""
     rest = [c for c in encoded.columns if c != decoded]
     schema = encoded.select(*rest, F.lit(b"").alias(decoded)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = model(rank_file, pattern)
+        tokens = token_bytes(rank_file)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                out = [bpe.decode(x or b"") for x in part.column(ids).to_pylist()]
+                out = [tokens.decode(x or b"") for x in part.column(ids).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), pa.array(out, pa.binary())], names=[*rest, decoded])
 
     return encoded.select(*rest).mapInArrow(run, schema)
 
 
 def bpe_query(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
-    coded = decode(encode(docs.select("doc_id", "text"), rank_file, pattern), rank_file, pattern)
+    coded = decode(encode(docs.select("doc_id", "text"), rank_file, pattern), rank_file)
     return coded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
@@ -271,5 +277,5 @@ def bpe_query(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
 
 def encoded_corpus(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     """doc_id, lang, source, n_tokens, ids (binary) and whether the ids decode to the text's bytes."""
-    coded = decode(encode(docs.select("doc_id", "lang", "source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_sha")), rank_file, pattern), rank_file, pattern)
+    coded = decode(encode(docs.select("doc_id", "lang", "source", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("_sha")), rank_file, pattern), rank_file)
     return coded.select("doc_id", "lang", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", (F.sha2("decoded", 256) == F.col("_sha")).alias("round_trip"))

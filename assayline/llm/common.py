@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,3 +51,17 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def text_blocks(column: pa.Array, chars: int) -> Iterator[list[str]]:
+    """Runs of the texts of a column (null: empty) of about ``chars`` characters together, a few rows at a time in Python."""
+    block, size = [], 0
+    for at in range(0, len(column), 64):
+        for text in column.slice(at, 64).to_pylist():
+            block.append(text or "")
+            size += len(block[-1])
+            if size >= chars:
+                yield block
+                block, size = [], 0
+    if block:
+        yield block

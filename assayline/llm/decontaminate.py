@@ -182,7 +182,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             index = Windows(shared.value)
             for batch in batches:
                 rows = []
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
+                    doc_id, text = doc_id.as_py(), text.as_py()
                     best: dict[int, tuple] = {}
                     for w, edits, start, end in index.matches(code_points(normal(text))):
                         row = (edits, index.start[w], int(index.length[w]), start, end)
@@ -208,7 +209,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Windows(shared.value)
             for batch in batches:
-                yield batch.filter(pa.array([not index.matches(code_points(normal(t))) for t in batch.column("text").to_pylist()], pa.bool_()))
+                yield batch.filter(pa.array([not index.matches(code_points(normal(t.as_py()))) for t in batch.column("text")], pa.bool_()))
 
         return rows.mapInArrow(run, rows.schema)
 
