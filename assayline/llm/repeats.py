@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from assayline.llm.common import materialise, remove_folder, shared_folder
 
+#: Bytes of a string that counts as repeated; up to 2,000 fit the packed columns below.
 LENGTH = 200
 GRAM = 32
 FILTER_BITS = 26
@@ -221,8 +222,9 @@ def maximal_repeats(pieces: list[bytes], left: np.ndarray, family: np.ndarray, l
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    """_d and _t name a row by its doc_id and, for rows that repeat one with another text, half a hash of the text."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_d"), F.xxhash64(text).alias("_t"), F.encode(text, "UTF-8").alias("_bytes"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("_d"), F.shiftright(F.xxhash64(text), 32).cast("int").alias("_t"), F.encode(text, "UTF-8").alias("_bytes"))
 
 
 def repeated_grams(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -247,8 +249,16 @@ def bit_field(values: DataFrame) -> np.ndarray:
     return field
 
 
-PIECE_SCHEMA = "gram long, piece long, _d long, _t long, start long, size int, left int, bytes binary"
-SPAN_SCHEMA = "_d long, _t long, start long, end long"
+#: place packs start (40 bits), bytes (12) and bytes before the anchor (12); bytes are zstandard frames.
+PIECE_SCHEMA = "gram long, piece long, _d long, _t int, place long, bytes binary"
+#: span packs start (40 bits) and bytes (24).
+SPAN_SCHEMA = "_d long, _t int, span long"
+
+
+def _parts(start: int, end: int) -> Iterator[tuple[int, int]]:
+    """A span in parts whose sizes fit 24 bits."""
+    for at in range(start, end, (1 << 24) - 1):
+        yield at, min(end, at + (1 << 24) - 1)
 
 
 def carried_pieces(docs: DataFrame, grams: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -262,6 +272,9 @@ def carried_pieces(docs: DataFrame, grams: DataFrame, length: int = LENGTH) -> D
             bits = values.view(np.uint64) >> np.uint64(64 - FILTER_BITS)
             return ((field[(bits >> np.uint64(6)).astype(np.int64)] >> (bits & np.uint64(63)).astype(np.int64)) & 1).astype(bool).tolist()
 
+        import zstandard
+
+        pack = zstandard.ZstdCompressor(level=1, write_content_size=True, write_checksum=False)
         sent: set[tuple[int, int]] = set()  # the bytes of a piece go out once from a task, as a rule
         for batch in batches:
             for at in range(0, batch.num_rows, 128):
@@ -270,7 +283,7 @@ def carried_pieces(docs: DataFrame, grams: DataFrame, length: int = LENGTH) -> D
                     sent.clear()
                 for d, t, data in zip(*(part.column(c).to_pylist() for c in ("_d", "_t", "_bytes"))):
                     rows, spans = pieces_of(data, length)
-                    out += [(None, None, d, t, a, b - a, 0, None) for a, b in spans]
+                    out += [(None, None, d, t, x << 24 | y - x, None) for a, b in spans for x, y in _parts(a, b)]
                     values = np.array([r[0] for r in rows], dtype=np.int64)
                     for (gram, piece, place), keep, differs in zip(rows, marked(repeated.value, values), marked(mixed.value, values)):
                         if keep:
@@ -278,25 +291,27 @@ def carried_pieces(docs: DataFrame, grams: DataFrame, length: int = LENGTH) -> D
                             new = differs and (gram, piece) not in sent
                             if new:
                                 sent.add((gram, piece))
-                            out.append((gram, piece, d, t, a, b - a, place - a, data[a:b] if new else None))
-                columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate((*[pa.int64()] * 5, pa.int32(), pa.int32(), pa.binary()))]
+                            out.append((gram, piece, d, t, a << 24 | b - a << 12 | place - a, pack.compress(data[a:b]) if new else None))
+                columns = [pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()))]
                 yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in PIECE_SCHEMA.split(", ")])
 
     return _keyed(docs).mapInArrow(run, PIECE_SCHEMA)
 
 
 def spans_of(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(_d, _t, start, end) of everything that repeats."""
+    """(_d, _t, span) of everything that repeats."""
+    import zstandard
 
-    def solve(families: list[dict[int, list]]) -> list[tuple[int, int, int, int]]:
+    def solve(families: list[dict[int, list]]) -> list[tuple[int, int, int]]:
+        unpack = zstandard.ZstdDecompressor()
         out, data, left, family, owner = [], [], [], [], []
         for number, members in enumerate(families):
             for piece in members.values():
                 at, content, size, before = piece
                 if len(at) > 1:
-                    out += [(d, t, a, a + size) for d, t, a in at]
+                    out += [(d, t, a << 24 | size) for d, t, a in at]
                 if len(members) > 1 and content is not None and size >= length:
-                    data.append(content)
+                    data.append(unpack.decompress(content))
                     left.append(before)
                     family.append(number)
                     owner.append(at)
@@ -305,18 +320,19 @@ def spans_of(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
             for i in np.flatnonzero(ends).tolist():
                 if len(owner[i]) == 1:
                     d, t, a = owner[i][0]
-                    out.append((d, t, a + int(starts[i]), a + int(ends[i])))
+                    out.append((d, t, a + int(starts[i]) << 24 | int(ends[i] - starts[i])))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in SPAN_SCHEMA.split(", ")]
         families, current, last, held = [], {}, None, 0
 
-        def emit(rows: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], names=names)
+        def emit(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64()))], names=names)
 
         for batch in batches:
-            for gram, piece, d, t, a, size, before, content in zip(*(batch.column(k).to_pylist() for k in range(8))):
+            for gram, piece, d, t, packed, content in zip(*(batch.column(k).to_pylist() for k in range(6))):
+                a, size, before = packed >> 24, packed >> 12 & 4095, packed & 4095
                 if gram != last:
                     if current and (len(current) > 1 or len(next(iter(current.values()))[0]) > 1):
                         families.append(current)
@@ -333,7 +349,7 @@ def spans_of(pieces: DataFrame, length: int = LENGTH) -> DataFrame:
             families.append(current)
         yield emit(solve(families))
 
-    within = pieces.where("gram is null").select("_d", "_t", "start", (F.col("start") + F.col("size")).alias("end"))
+    within = pieces.where("gram is null").select("_d", "_t", F.col("place").alias("span"))
     across = pieces.where("gram is not null").repartition("gram").sortWithinPartitions("gram").mapInArrow(run, SPAN_SCHEMA)
     return across.unionByName(within)
 
@@ -342,7 +358,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """doc_id, n_bytes, spans (the maximal removed runs, array of start and end) and kept (the bytes left) of every row."""
     folder = shared_folder(docs.sparkSession)
     grams = materialise(repeated_grams(docs, length), "grams", folder)
-    spans = materialise(spans_of(carried_pieces(docs, grams, length), length).groupBy("_d", "_t").agg(F.collect_list(F.struct("start", "end")).alias("found")), "spans", folder)
+    spans = materialise(spans_of(carried_pieces(docs, grams, length), length).repartition("_d", "_t").groupBy("_d", "_t").agg(F.collect_list("span").alias("found")), "spans", folder)
     remove_folder(docs.sparkSession, f"{folder}/grams")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -352,7 +368,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 part, sizes, runs, kept = batch.slice(at, 256), [], [], []
                 for data, found in zip(part.column("_bytes").to_pylist(), part.column("found").to_pylist()):
                     merged: list[list[int]] = []
-                    for a, b in sorted((x["start"], x["end"]) for x in found or ()):
+                    for a, b in sorted((x >> 24, (x >> 24) + (x & 0xFFFFFF)) for x in found or ()):
                         if merged and a <= merged[-1][1]:
                             merged[-1][1] = max(b, merged[-1][1])
                         else:
