@@ -29,12 +29,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from assayline.llm.common import text_blocks
+
 END_ID = 0
 SAMPLE_DOCS = 512
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 BLOCK_BYTES = 4 << 20
-BLOCK_CHARS = 1_000_000
+BLOCK_CHARS = 500_000
 REMEMBERED = 250_000
 
 BLOCK_SCHEMA = "part int, block int, dict_hash string, first_start long, n_tokens long, doc_ids array<long>, counts array<int>, offsets array<int>, data binary"
@@ -49,7 +51,7 @@ class Encoder:
     goes to it whole.
     """
 
-    _runs = re.compile(r"\s\s|^\s|\s\Z")
+    _runs = re.compile(r"\s\s")
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -78,7 +80,7 @@ class Encoder:
         words: list[list[str]] = []
         simple = []
         for i, text in enumerate(texts):
-            if self.special and text and self.special["content"] not in text and not self._runs.search(text):
+            if self.special and text and self.special["content"] not in text and not (text[0].isspace() or text[-1].isspace() or self._runs.search(text)):
                 first, *rest = text.split(" ")
                 words.append([first, *rest])
                 simple.append(i)
@@ -115,18 +117,6 @@ def encoder(tokenizer_file: str) -> Encoder:
     return _ENCODERS[tokenizer_file]
 
 
-def _text_blocks(texts: list[str | None]) -> Iterator[list[str]]:
-    block, size = [], 0
-    for text in texts:
-        block.append(text or "")
-        size += len(block[-1])
-        if size >= BLOCK_CHARS:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
 def fit_dictionary(docs: DataFrame, tokenizer_file: str, sample_docs: int = SAMPLE_DOCS) -> tuple[bytes, int]:
     """A zstandard dictionary trained on the serialised ids of a bounded sample, in one task; empty if it can't be."""
     chosen = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).collect()
@@ -138,7 +128,7 @@ def fit_dictionary(docs: DataFrame, tokenizer_file: str, sample_docs: int = SAMP
         import zstandard
 
         rows = sorted((i, t or "") for b in batches for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()))
-        parts = [ids for block in _text_blocks([t for _, t in rows]) for ids in encoder(tokenizer_file).encode(block)]
+        parts = [ids for block in text_blocks(pa.array([t for _, t in rows], pa.large_string()), BLOCK_CHARS) for ids in encoder(tokenizer_file).encode(block)]
         try:
             trained = zstandard.train_dictionary(DICTIONARY_BYTES, [p for p in parts if p]).as_bytes()
         except zstandard.ZstdError:  # too few or too short samples
@@ -177,7 +167,7 @@ def write(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = END_I
 
         for batch in batches:
             ids = iter(batch.column("doc_id").to_pylist())
-            for block in _text_blocks(batch.column("text").to_pylist()):
+            for block in text_blocks(batch.column("text"), BLOCK_CHARS):
                 for doc_id, coded in zip(map(lambda _: next(ids), block), coder.encode(block)):
                     coded += end
                     state["ids"].append(doc_id)
