@@ -9,8 +9,10 @@ which points need comparing at all. A leaf returns one link per point, to its lo
 components of those links are the groups.
 
 The tree prunes while the radius is small against the spread of distances (4 bits for 64). Similarity 0.8 needs a radius
-near 17 % of the bits, where no branch can be pruned, so ``near_duplicate_groups`` shards 256-bit fingerprints by
-bands of equal bits and keeps the ball search with its triangle bounds within a band's bucket.
+near 17 % of the bits, where no branch can be pruned, so ``near_duplicate_groups`` shards 256-bit fingerprints of shingle
+sets by bands of equal bits and searches each band's bucket. What it finds are proposals: only those whose shingle sets are SIMILAR
+exactly become links. A first round proposes one partner for each point; a second one proposes all pairs within the
+radius that the verified links of the first have not joined.
 
 Defined cases: a null text is an empty one; texts without words have fingerprint zero and link like any others; a null
 doc_id has a fingerprint, and its group's smallest doc_id that is not null (null if there is none).
@@ -33,7 +35,7 @@ SAMPLE_POINTS = 16_384
 LEAF_POINTS = 4_096
 LOCAL_POINTS = 1_024
 BAND_BITS, BANDS = 14, 18
-#: Bits that may differ at similarity 0.8, of 256: 38.9 are expected (angle between the shingle sets), 5.7 are one deviation.
+#: Bits that may differ at similarity 0.8, of 256: 38.8 are expected (angle between the shingle sets), 5.7 are one deviation.
 SIMILAR_RADIUS = 45
 
 
@@ -257,24 +259,155 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2) -> Data
     return marked.join(groups, F.col("fp0") == F.col("_key")).drop("_key")
 
 
-def near_duplicate_groups(docs: DataFrame, words: int = 5, radius: int = SIMILAR_RADIUS) -> DataFrame:
-    """doc_id and component_id: documents whose 256-bit fingerprints of ``words``-word shingles lie within ``radius``
-    bits (0.8 similar, see SIMILAR_RADIUS) and share one of BANDS bands, and what such links join."""
-    folder, names = shared_folder(docs.sparkSession), ["fp0", "fp1", "fp2", "fp3"]
-    marked = materialise(fingerprints(docs, words, 4).withColumn("point", F.xxhash64(*names)), "fingerprints", folder)
-    points = materialise(marked.groupBy("point", *names).agg(F.min("doc_id").alias("_first")), "points", folder)
+def choose_bands(points: int) -> np.ndarray:
+    """The bits of every band, one row for each."""
+    return np.arange(BANDS * BAND_BITS).reshape(BANDS, BAND_BITS)
+
+
+def _shingle_sets(keyed: DataFrame, words: int) -> DataFrame:
+    """_text_key and grams (the distinct shingle hashes) of every row of ``keyed`` (_text_key, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [np.unique(shingle_hashes(t, words)).view(np.int64) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("_text_key"), pa.array(sets, pa.list_(pa.int64()))], names=["_text_key", "grams"])
+
+    return keyed.mapInArrow(run, "_text_key long, grams array<long>")
+
+
+def _set_fingerprints(keyed: DataFrame, words: int, names: list[str]) -> DataFrame:
+    """doc_id, _text_key, point (a hash of the shingle set) and the fingerprint of the set of every row."""
+    import xxhash
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = [np.unique(shingle_hashes(t, words)) for t in part.column("text").to_pylist()]
+                made = np.array([fingerprint(s, len(names)) for s in sets]).view(np.int64).reshape(-1, len(names))
+                point = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], dtype=np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("_text_key"), pa.array(point), *(pa.array(made[:, k]) for k in range(len(names)))], names=["doc_id", "_text_key", "point", *names])
+
+    return keyed.mapInArrow(run, "doc_id long, _text_key long, point long, " + ", ".join(f"{n} long" for n in names))
+
+
+def _banded(points: DataFrame, bands: np.ndarray, carried: list[str], names: list[str]) -> DataFrame:
+    """band, ``carried`` and the fingerprint, once for each band."""
+    weights = 1 << np.arange(bands.shape[1])
 
     def band(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(n).to_numpy(zero_copy_only=False) for n in ["point", *names]]
-            bits = np.unpackbits(np.stack(columns[1:], axis=1).view(np.uint8).reshape(-1, 32), axis=1, bitorder="little")
-            for k in range(BANDS):
-                key = bits[:, k * BAND_BITS : (k + 1) * BAND_BITS].astype(np.int64) @ (1 << np.arange(BAND_BITS)) + (k << BAND_BITS)
-                yield pa.RecordBatch.from_arrays([pa.array(key), *map(pa.array, columns)], names=["band", "point", *names])
-
-    banded = points.select("point", *names).mapInArrow(band, "band long, point long, fp0 long, fp1 long, fp2 long, fp3 long")
-    linked = components(_links_in_runs(banded, "band", ["point", *names], radius))
-    return marked.select("doc_id", "point").join(_group_of(points, linked, "point"), F.col("point") == F.col("_key")).select("doc_id", "component_id")
+            columns = [batch.column(n).to_numpy(zero_copy_only=False) for n in [*carried, *names]]
+            bits = np.unpackbits(np.stack(columns[len(carried) :], axis=1).view(np.uint8).reshape(-1, 32), axis=1, bitorder="little")
+            for k, chosen in enumerate(bands):
+                key = bits[:, chosen].astype(np.int64) @ weights + (k << bands.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(key), *map(pa.array, columns)], names=["band", *carried, *names])
+
+    return points.select(*carried, *names).mapInArrow(band, ", ".join(f"{n} long" for n in ["band", *carried, *names]))
+
+
+def _close(prints: np.ndarray, others: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, matrix of which others lie within ``radius``) for blocks of ``prints``."""
+    step = max(1, (1 << 20) // max(1, len(others)))
+    for at in range(0, len(prints), step):
+        d = np.zeros((len(prints[at : at + step]), len(others)), dtype=np.uint16)
+        for lane in range(prints.shape[1]):
+            d += np.bitwise_count(prints[at : at + step, None, lane] ^ others[None, :, lane])
+        yield at, d <= radius
+
+
+def first_partners(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, partner) for every row with another one within ``radius``: the first row within it, or a local root."""
+    n = len(prints)
+    if n > LOCAL_POINTS:
+        roots = link_leaf(prints, radius)
+        some = np.bincount(roots, minlength=n)[roots] > 1
+        return np.flatnonzero(some), roots[some]
+    rows, firsts = [], []
+    for at, near in _close(prints, prints, radius):
+        some = np.flatnonzero(near.sum(axis=1) > 1)
+        rows.append(some + at)
+        firsts.append(near[some].argmax(axis=1))
+    return np.concatenate(rows), np.concatenate(firsts)
+
+
+def open_pairs(prints: np.ndarray, component: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Every pair of rows within ``radius`` of each other whose components differ, in blocks."""
+    order = np.argsort(component, kind="stable")
+    cuts = np.append(np.flatnonzero(np.diff(component[order], prepend=component[order[0]] - 1)), len(order))
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if b < len(order):
+            for at, near in _close(prints[order[a:b]], prints[order[b:]], radius):
+                i, j = np.nonzero(near)
+                if len(i):
+                    yield order[a + at + i], order[b + j]
+
+
+def _proposals(banded: DataFrame, names: list[str], radius: int, joined: bool) -> DataFrame:
+    """(a, b) with a >= b of each band's bucket: first partners (a = b if it is the point itself), or, with a column
+    ``component``, the open pairs."""
+    carried = ["point", "component"] if joined else ["point"]
+
+    def pairs(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        prints = np.ascontiguousarray(rows[:, len(carried) :]).view(np.uint64)
+        if joined:
+            yield from open_pairs(prints, rows[:, 1], radius)
+        else:
+            yield first_partners(prints, radius)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b, held = [], [], 0
+        for rows in _segments(batches, "band", [*carried, *names]):
+            if len(rows) < 2:
+                continue
+            for i, j in pairs(rows):
+                a.append(np.maximum(rows[i, 0], rows[j, 0]))
+                b.append(np.minimum(rows[i, 0], rows[j, 0]))
+                held += len(i)
+                if held > 50_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+                    a, b, held = [], [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+    return banded.repartition("band").sortWithinPartitions("band", "point").mapInArrow(run, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose shingle sets (``sets``: point, grams) are similar: intersection over union at least 0.8."""
+    of_a, of_b = (sets.select(F.col("point").alias(k), F.col("grams").alias(f"_{k}")) for k in ("a", "b"))
+    both = F.size(F.array_intersect("_a", "_b"))
+    return pairs.join(of_a, "a").join(of_b, "b").where(5 * both >= 4 * (F.size("_a") + F.size("_b") - both)).select("a", "b")
+
+
+def near_duplicate_groups(docs: DataFrame, words: int = 5, radius: int = SIMILAR_RADIUS) -> DataFrame:
+    """doc_id and component_id: documents whose sets of ``words``-word shingles are 0.8 similar, and what such links join.
+
+    Links are exact. A pair at 0.8 is proposed if its 256-bit fingerprints lie within ``radius`` bits and share a band
+    of equal bits, more similar ones more surely.
+    """
+    spark, names = docs.sparkSession, ["fp0", "fp1", "fp2", "fp3"]
+    folder = shared_folder(spark)
+    keyed = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text_key"))
+    marked = materialise(_set_fingerprints(keyed, words, names), "fingerprints", folder)
+    points = materialise(marked.groupBy("point", *names).agg(F.min("doc_id").alias("_first"), F.min("_text_key").alias("_text_key")), "points", folder)
+    bands = choose_bands(points.count())
+
+    proposed = materialise(_proposals(_banded(points, bands, ["point"], names), names, radius, False), "proposed", folder)
+    active = proposed.select(F.explode(F.array("a", "b")).alias("point")).distinct()
+    active = materialise(points.join(active, "point", "left_semi"), "active", folder)
+    texts = keyed.select("_text_key", "text").join(active.select("_text_key"), "_text_key", "left_semi")
+    sets = _shingle_sets(texts, words).dropDuplicates(["_text_key"]).join(active.select("_text_key", "point"), "_text_key")
+    sets = materialise(sets.select("point", "grams"), "sets", folder)
+
+    first = proposed.where("a <> b").groupBy("a").agg(F.min("b").alias("b"))
+    links = materialise(_verified(first, sets), "links", folder)
+    joined = active.join(components(links), F.col("point") == F.col("node"), "left").withColumn("component", F.coalesce("root", "point"))
+    others = _proposals(_banded(joined, bands, ["point", "component"], names), names, radius, True)
+    links = materialise(links.unionByName(_verified(materialise(others, "open", folder), sets)), "all_links", folder)
+    return marked.select("doc_id", "point").join(_group_of(points, components(links), "point"), F.col("point") == F.col("_key")).select("doc_id", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, radius: int = SIMILAR_RADIUS) -> DataFrame:
