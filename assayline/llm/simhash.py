@@ -9,8 +9,9 @@ which points need comparing at all. A leaf returns one link per point, to its lo
 components of those links are the groups.
 
 The tree prunes while the radius is small against the spread of distances (4 bits for 64). Similarity 0.8 needs a radius
-near 17 % of the bits, where no branch can be pruned, so ``near_duplicate_groups`` shards 256-bit fingerprints of shingle
-sets by bands of equal bits and searches each band's bucket. What it finds are proposals: only those whose shingle sets are SIMILAR
+of 22 % of the bits, where no branch can be pruned, so ``near_duplicate_groups`` shards 256-bit fingerprints of shingle
+sets by bands (random choices of bits that overlap), enough of them that a pair at 0.8 shares one with probability
+BAND_RECALL, and searches each band's bucket. What it finds are proposals: only those whose shingle sets are SIMILAR
 exactly become links. A first round proposes one partner for each point; a second one proposes all pairs within the
 radius that the verified links of the first have not joined.
 
@@ -20,6 +21,7 @@ doc_id has a fingerprint, and its group's smallest doc_id that is not null (null
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +36,12 @@ SEED = 42
 SAMPLE_POINTS = 16_384
 LEAF_POINTS = 4_096
 LOCAL_POINTS = 1_024
-BAND_BITS, BANDS = 14, 18
+#: Points that a band's bucket holds on average if bits are even, the fewest bits of a band, and the share of pairs at
+#: similarity 0.8 that meet in some band.
+BUCKET_POINTS, BAND_BITS, BAND_RECALL = 512, 12, 0.998
 #: Bits that may differ at similarity 0.8, of 256: 38.8 are expected (angle between the shingle sets), 5.7 are one deviation.
-SIMILAR_RADIUS = 45
+SIMILAR_RADIUS = 57
+DIFFER_AT_SIMILAR = 0.1515
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -259,9 +264,24 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2) -> Data
     return marked.join(groups, F.col("fp0") == F.col("_key")).drop("_key")
 
 
+def band_recall(bits: int, bands: int, radius: int = SIMILAR_RADIUS, differ: float = DIFFER_AT_SIMILAR) -> float:
+    """The share of pairs that lie within ``radius`` bits and agree on one of ``bands`` random choices of ``bits`` bits, if
+    each of 256 bits differs with probability ``differ``."""
+    total = 0.0
+    for d in range(radius + 1):
+        alike = math.comb(256 - d, bits) / math.comb(256, bits)
+        total += math.comb(256, d) * differ**d * (1 - differ) ** (256 - d) * (1 - (1 - alike) ** bands)
+    return total
+
+
 def choose_bands(points: int) -> np.ndarray:
-    """The bits of every band, one row for each."""
-    return np.arange(BANDS * BAND_BITS).reshape(BANDS, BAND_BITS)
+    """The bits of every band: one row for each, as many as BAND_RECALL needs, as wide as so many points need."""
+    bits = max(BAND_BITS, math.ceil(math.log2(max(points, 1) / BUCKET_POINTS)))
+    bands = 8
+    while band_recall(bits, bands, 256) < BAND_RECALL:
+        bands += 4
+    pick = np.random.default_rng(SEED)
+    return np.stack([np.sort(pick.permutation(256)[:bits]) for _ in range(bands)])
 
 
 def _shingle_sets(keyed: DataFrame, words: int) -> DataFrame:
@@ -386,7 +406,7 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, radius: int = SIMILAR
     """doc_id and component_id: documents whose sets of ``words``-word shingles are 0.8 similar, and what such links join.
 
     Links are exact. A pair at 0.8 is proposed if its 256-bit fingerprints lie within ``radius`` bits and share a band
-    of equal bits, more similar ones more surely.
+    (see ``band_recall``), more similar ones more surely.
     """
     spark, names = docs.sparkSession, ["fp0", "fp1", "fp2", "fp3"]
     folder = shared_folder(spark)

@@ -22,6 +22,17 @@ def _groups(spark, rows):
     return {r["doc_id"]: r["component_id"] for r in simhash.near_duplicate_groups(frame).collect()}
 
 
+def test_pairs_at_the_threshold_are_found(spark):
+    pick, rows = random.Random(1), []
+    for k in range(300):
+        text = [pick.choice(WORDS) for _ in range(454)]  # 450 shingles; 400 of 500 stay
+        rows += [(2 * k, text), (2 * k + 1, _changed(text, range(10, 410, 40), "x"))]
+    found = _groups(spark, rows)
+    assert sum(found[2 * k + 1] == 2 * k for k in range(300)) >= 294
+    bands = simhash.choose_bands(100_000)
+    assert simhash.band_recall(bands.shape[1], len(bands)) >= 0.99
+
+
 def test_pairs_under_the_threshold_stay(spark):
     pick, rows = random.Random(2), []
     for k in range(100):
