@@ -107,18 +107,16 @@ class Windows:
             return []
         span = self.edits[window] + 1
         diagonal = where - place + WINDOW
-        found = []
-        for shift in (0, 1):
-            band = diagonal // span - shift
-            keys = np.stack([window, band, place])
-            keys = keys[:, np.lexsort(keys[::-1])]
-            fresh = np.ones(keys.shape[1], dtype=bool)
-            fresh[1:] = (np.diff(keys, axis=1) != 0).any(axis=0)
-            keys = keys[:2, fresh]  # each q-gram of a window counts once in a band
-            edge = np.flatnonzero(np.append(True, (np.diff(keys, axis=1) != 0).any(axis=0)))
-            count = np.diff(np.append(edge, keys.shape[1]))
-            full = count >= self.bound[keys[0, edge]]
-            found += keys[:, edge[full]].T.tolist()
+        group = diagonal // span
+        # each hit counts in both bands that hold its group of diagonals
+        keys = np.concatenate([np.stack([window, group, place]), np.stack([window, group - 1, place])], axis=1)
+        keys = keys[:, np.lexsort(keys[::-1])]
+        fresh = np.ones(keys.shape[1], dtype=bool)
+        fresh[1:] = (np.diff(keys, axis=1) != 0).any(axis=0)
+        keys = keys[:2, fresh]  # each q-gram of a window counts once in a band
+        edge = np.flatnonzero(np.append(True, (np.diff(keys, axis=1) != 0).any(axis=0)))
+        count = np.diff(np.append(edge, keys.shape[1]))
+        found = keys[:, edge[count >= self.bound[keys[0, edge]]]].T.tolist()
         best: dict[int, tuple[int, int, int, int]] = {}
         for w, band in found:
             k = int(self.edits[w])
