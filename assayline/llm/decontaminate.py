@@ -1,16 +1,18 @@
 """Benchmark decontamination by q-gram filtering in overlapping diagonal bands, verified by banded alignment.
 
-Both sides are lower-cased, and runs of white space become one space. A benchmark item is cut into overlapping windows
-of WINDOW characters (a shorter item is one window), so that a passage of part of an item is found too. If a text holds
-a window with at most k = ERROR_RATE * m edits, then at least m + 1 - q - k * q of the window's q-grams occur in it on
-at most k + 1 neighbouring diagonals (q-gram lemma). Bands of 2 (k + 1) diagonals that overlap by half contain any such
-group. Regions of bands that reach the bound are aligned within their band; what stays within k edits is a match.
+Both sides are lower-cased, and runs of white space become one space. The shortest passage that counts is PASSAGE_WORDS
+words of an item, or WINDOW characters where so many words are longer. A window of that size starts at every word of an
+item, and every STEP characters within a long word; an item shorter than that is one window. If a text holds a window
+of m characters with at most k = ERROR_RATE * m edits, then at least m + 1 - q - k * q of the window's q-grams occur in
+it on at most k + 1 neighbouring diagonals (q-gram lemma). Bands of 2 (k + 1) diagonals that overlap by half contain any
+such group. An item's q-grams are counted once in each band of the item, then those of each window among them. Regions
+of bands that reach the bound are aligned within their band; what stays within k edits is a match.
 
 Benchmark windows go to the tasks in blocks of BLOCK_CHARS characters at most; a larger benchmark takes more passes
 over the documents.
 
-Defined cases: a null or empty text or item matches nothing; items with fewer than q + k * q characters have a bound of
-one q-gram; repeated items each match; repeated documents each give their rows; an empty benchmark gives no rows.
+Defined cases: a null or empty text or item matches nothing; a window too short for the lemma with q = Q takes the
+longest q that leaves a bound of one q-gram (a window of under 8 characters is looked for as it is); repeated items each match; repeated documents each give their rows; an empty benchmark gives no rows.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from pyspark.sql import functions as F
 
 Q = 8
 ERROR_RATE = 0.1
+PASSAGE_WORDS = 13
 WINDOW = 96
-STRIDE = 48
+LONG_WORD = 16
+STEP = 4
 BLOCK_CHARS = 4_000_000
 TABLE_BITS = 24
 SLICE = 1 << 18
@@ -53,27 +57,34 @@ def gram_hashes(codes: np.ndarray, q: int = Q) -> np.ndarray:
     return h * _SPREAD
 
 
-class Windows:
-    """The q-gram index of a block of benchmark items."""
-
-    def __init__(self, items: list[tuple[int, str]]):
-        self.item, self.start, self.codes = [], [], []
-        for item_id, text in items:
-            codes = code_points(text)
-            last = max(0, len(codes) - WINDOW)
-            for at in sorted({*range(0, last + 1, STRIDE), last}):
-                if len(codes):
-                    self.item.append(item_id)
-                    self.start.append(at)
-                    self.codes.append(codes[at : at + WINDOW])
-        self.length = np.array([len(c) for c in self.codes], dtype=np.int64)
-        self.edits = (self.length * ERROR_RATE).astype(np.int64)
-        self.bound = np.maximum(1, self.length + 1 - Q - self.edits * Q)
-        hashes = [gram_hashes(c) for c in self.codes]
+def window_spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) of every window of an item in its normal form."""
+    words, at = [], 0
+    for word in text.split(" "):
+        words.append((at, at + len(word)))
+        at += len(word) + 1
+    spans = set()
+    for n, (first, last) in enumerate(words):
+        for start in (first, *(range(first + STEP, last, STEP) if last - first > LONG_WORD else ())):
+            if n + PASSAGE_WORDS <= len(words):
+                spans.add((start, min(words[n + PASSAGE_WORDS - 1][1], start + WINDOW)))
+            elif start + WINDOW <= len(text):
+                spans.add((start, start + WINDOW))
+    if len(words) < PASSAGE_WORDS and len(text) >= WINDOW:
+        spans.add((len(text) - WINDOW, len(text)))
+    return sorted(spans) or [(0, len(text))]
+
+
+class Grams:
+    """The q-gram index of items, given as (number, code points)."""
+
+    def __init__(self, q: int, items: list[tuple[int, np.ndarray]]):
+        self.q = q
+        hashes = [gram_hashes(c, q) for _, c in items]
         counts = np.array([len(h) for h in hashes], dtype=np.int64)
-        every = np.concatenate([np.empty(0, dtype=np.uint64), *hashes])
-        owner = np.repeat(np.arange(len(hashes)), counts)
-        place = np.concatenate([np.empty(0, dtype=np.int64), *(np.arange(c) for c in counts)])
+        every = np.concatenate(hashes)
+        owner = np.repeat(np.array([n for n, _ in items]), counts)
+        place = np.concatenate([np.arange(c) for c in counts])
         order = np.argsort(every, kind="stable")
         self.owner, self.place = owner[order], place[order]
         self.grams, self.first = np.unique(every[order], return_index=True)
@@ -82,10 +93,10 @@ class Windows:
         self.table[(self.grams >> np.uint64(64 - TABLE_BITS)).astype(np.int64)] = True
 
     def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(position in the text, window, position in the window) of every shared q-gram."""
+        """(position in the text, item, position in the item) of every shared q-gram."""
         where, gram = [], []
-        for at in range(0, max(0, len(codes) - Q + 1), SLICE):
-            h = gram_hashes(codes[at : at + SLICE + Q - 1])
+        for at in range(0, max(0, len(codes) - self.q + 1), SLICE):
+            h = gram_hashes(codes[at : at + SLICE + self.q - 1], self.q)
             near = np.flatnonzero(self.table[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)])
             g = np.searchsorted(self.grams, h[near])
             same = self.grams[np.minimum(g, len(self.grams) - 1)] == h[near]
@@ -98,42 +109,99 @@ class Windows:
         post = np.repeat(self.first[gram] - np.cumsum(n) + n, n) + np.arange(n.sum())
         return np.repeat(where, n), self.owner[post], self.place[post]
 
-    def matches(self, codes: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(window, edits, start, end) of every region of the text within a window's edit budget."""
-        if not self.codes or not len(codes):
-            return []
-        where, window, place = self.hits(codes)
-        if len(where) < self.bound.min():
+
+class Windows:
+    """The windows of a block of benchmark items, and the q-grams of the items for each q that some window takes."""
+
+    def __init__(self, items: list[tuple[int, str]]):
+        items = [(item_id, text) for item_id, text in items if text]
+        self.codes = [code_points(text) for _, text in items]
+        spans = [(n, *span) for n, (_, text) in enumerate(items) for span in window_spans(text)]
+        self.of, self.start, self.end = np.array(spans, dtype=np.int64).reshape(-1, 3).T
+        self.item = [items[n][0] for n in self.of.tolist()]
+        self.length = self.end - self.start
+        self.edits = (self.length * ERROR_RATE).astype(np.int64)
+        self.q = np.minimum(Q, self.length // (self.edits + 1))
+        self.bound = self.length + 1 - self.q * (self.edits + 1)
+        self.parts = []
+        for q in np.unique(self.q).tolist():
+            own = np.flatnonzero(self.q == q)
+            numbers, first = np.unique(self.of[own], return_index=True)
+            least, span = np.zeros(len(items), dtype=np.int64), np.ones(len(items), dtype=np.int64)
+            least[numbers] = np.minimum.reduceat(self.bound[own], first)
+            span[numbers] = np.maximum.reduceat(self.edits[own], first) + 1
+            windows = dict(zip(numbers.tolist(), np.split(own, first[1:])))
+            self.parts.append((Grams(q, [(n, self.codes[n]) for n in windows]), windows, least, span))
+
+    def full_windows(self, codes: np.ndarray) -> dict[int, list[tuple[int, int, int]]]:
+        """For each item number (window, lowest and highest diagonal) of every band where a window reaches its bound."""
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        for grams, windows, least, span in self.parts:
+            where, item, place = grams.hits(codes)
+            enough = np.bincount(item, minlength=len(least))[item] >= least[item]
+            where, item, place = where[enough], item[enough], place[enough]
+            if not len(where):
+                continue
+            group = (where - place) // span[item]
+            # each hit counts in both bands that hold its group of diagonals
+            keys = np.concatenate([np.stack([item, group, place]), np.stack([item, group - 1, place])], axis=1)
+            keys = keys[:, np.lexsort(keys[::-1])]
+            fresh = np.ones(keys.shape[1], dtype=bool)
+            fresh[1:] = (np.diff(keys, axis=1) != 0).any(axis=0)
+            keys = keys[:, fresh]  # each q-gram of an item counts once in a band
+            edge = np.flatnonzero(np.append(True, (np.diff(keys[:2], axis=1) != 0).any(axis=0)))
+            stop = np.append(edge[1:], keys.shape[1])
+            some = stop - edge >= least[keys[0, edge]]
+            for a, b in zip(edge[some].tolist(), stop[some].tolist()):
+                n, low = int(keys[0, a]), int(keys[1, a] * span[keys[0, a]])
+                own, places = windows[n], keys[2, a:b]
+                count = np.searchsorted(places, self.end[own] - grams.q, "right") - np.searchsorted(places, self.start[own])
+                found.setdefault(n, []).extend((w, low, low + 2 * int(span[n]) - 1) for w in own[count >= self.bound[own]].tolist())
+        return found
+
+    def matches(self, codes: np.ndarray, one: bool = False) -> list[tuple[int, int, int, int]]:
+        """(window, edits, start, end) of the best window of every item (the first found with ``one``) that the text holds
+        within the window's edit budget: fewest edits, then the first in the item."""
+        if not len(self.of) or not len(codes):
             return []
-        span = self.edits[window] + 1
-        diagonal = where - place + WINDOW
-        group = diagonal // span
-        # each hit counts in both bands that hold its group of diagonals
-        keys = np.concatenate([np.stack([window, group, place]), np.stack([window, group - 1, place])], axis=1)
-        keys = keys[:, np.lexsort(keys[::-1])]
-        fresh = np.ones(keys.shape[1], dtype=bool)
-        fresh[1:] = (np.diff(keys, axis=1) != 0).any(axis=0)
-        keys = keys[:2, fresh]  # each q-gram of a window counts once in a band
-        edge = np.flatnonzero(np.append(True, (np.diff(keys, axis=1) != 0).any(axis=0)))
-        count = np.diff(np.append(edge, keys.shape[1]))
-        found = keys[:, edge[count >= self.bound[keys[0, edge]]]].T.tolist()
-        best: dict[int, tuple[int, int, int, int]] = {}
-        for w, band in found:
-            k = int(self.edits[w])
-            low = band * (k + 1) - WINDOW
-            hit = align(self.codes[w], codes, low, low + 2 * (k + 1) - 1, k)
-            if hit and (w not in best or hit[0] < best[w][1]):
-                best[w] = (w, *hit)
-        return list(best.values())
+        found = []
+        for n, full in self.full_windows(codes).items():
+            best = None
+            for exact in (True, False):
+                for w, low, high in sorted(full):
+                    start, end = int(self.start[w]), int(self.end[w])
+                    budget = 0 if exact else int(self.edits[w])
+                    window, low, high = self.codes[n][start:end], low + start, high + start
+                    hit = verbatim(window, codes, low, high) if exact else align(window, codes, low, high, budget)
+                    if hit and (best is None or hit[0] < best[1]):
+                        best = (w, *hit)
+                        if exact or one:
+                            break
+                if best:
+                    break
+            if best:
+                found.append(best)
+                if one:
+                    break
+        return found
+
+
+def verbatim(window: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple[int, int, int] | None:
+    """(0, start, end) of the first place of the window on the diagonals low..high."""
+    m = len(window)
+    for d in range(max(low, 0), min(high, len(text) - m) + 1):
+        if np.array_equal(text[d : d + m], window):
+            return 0, d, d + m
+    return None
 
 
 def align(window: np.ndarray, text: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the best place of the whole window on the diagonals low..high (text minus window), widened
     by the budget; None if it needs more edits than that."""
     m = len(window)
-    for d in range(low, high + 1):
-        if d >= 0 and d + m <= len(text) and np.array_equal(text[d : d + m], window):
-            return 0, d, d + m
+    same = verbatim(window, text, low, high)
+    if same:
+        return same
     low, width = low - budget, high - low + 1 + 2 * budget
     far = m + budget + 1
     # cell c of row i is text position low + c + i; a row's cells: (edits, start)
@@ -148,10 +216,9 @@ def align(window: np.ndarray, text: np.ndarray, low: int, high: int, budget: int
         skip = np.append(cost[1:] + 1, far)
         new, start = np.where(diagonal <= skip, diagonal, skip), np.where(diagonal <= skip, origin, np.append(origin[1:], 0))
         new[~inside] = far
-        for c in range(1, width):
-            if new[c - 1] + 1 < new[c]:
-                new[c], start[c] = new[c - 1] + 1, start[c - 1]
-        cost, origin = new, start
+        # a cell may take any cell on its left at one edit a step: the least (edits less column, start) up to it
+        packed = np.minimum.accumulate(((new - np.arange(width)) << 40) + start + (1 << 32))
+        cost, origin = (packed >> 40) + np.arange(width), (packed & ((1 << 40) - 1)) - (1 << 32)
         if cost.min() > budget:
             return None
     c = int(cost.argmin())
@@ -184,7 +251,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                     doc_id, text = doc_id.as_py(), text.as_py()
                     best: dict[int, tuple] = {}
                     for w, edits, start, end in index.matches(code_points(normal(text))):
-                        row = (edits, index.start[w], int(index.length[w]), start, end)
+                        row = (edits, int(index.start[w]), int(index.length[w]), start, end)
                         best[index.item[w]] = min(best.get(index.item[w], row), row)
                     rows += [(doc_id, item, *row) for item, row in sorted(best.items())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names=names)
@@ -207,7 +274,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Windows(shared.value)
             for batch in batches:
-                yield batch.filter(pa.array([not index.matches(code_points(normal(t.as_py()))) for t in batch.column("text")], pa.bool_()))
+                yield batch.filter(pa.array([not index.matches(code_points(normal(t.as_py())), one=True) for t in batch.column("text")], pa.bool_()))
 
         return rows.mapInArrow(run, rows.schema)
 

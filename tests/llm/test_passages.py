@@ -1,4 +1,4 @@
-"""Benchmark items with spread edits."""
+"""Passages of part of a benchmark item, items with spread edits, and items too short for the q-gram lemma with q = 8."""
 
 from __future__ import annotations
 
@@ -9,10 +9,33 @@ import pytest
 from assayline.llm import decontaminate
 
 
+def _words(pick, n, letters="abcdefghij"):
+    return ["".join(pick.choice(letters) for _ in range(pick.randint(2, 8))) for _ in range(n)]
+
+
 def _found(index, text):
     return index.matches(decontaminate.code_points(text))
 
 
+def test_every_passage_of_thirteen_words():
+    pick = random.Random(1)
+    item = _words(pick, 45)
+    index = decontaminate.Windows([(1, " ".join(item))])
+    for at in range(45 - 13 + 1):
+        around = " ".join(_words(pick, 60, "klmnopqrst"))
+        found = _found(index, f"{around} {' '.join(item[at : at + 13])} {around}")
+        assert found and found[0][1] == 0
+        assert not _found(index, f"{around} {' '.join(item[at : at + 6])} {around}")
+
+
+def test_passages_of_an_item_without_spaces():
+    pick = random.Random(2)
+    item = "".join(chr(pick.randrange(0x4E00, 0x9000)) for _ in range(400))
+    index = decontaminate.Windows([(1, item)])
+    for at in range(0, 300, 7):
+        assert _found(index, "ab " * 50 + item[at : at + 100] + " cd" * 50)
+
+
 @pytest.mark.parametrize("sign", ["insert", "delete"])
 def test_spread_edits_at_the_full_budget(sign):
     pick, missed = random.Random(3), 0
@@ -23,3 +46,16 @@ def test_spread_edits_at_the_full_budget(sign):
             edited[p : p + 1] = [edited[p], "x"] if sign == "insert" else []
         missed += not _found(index, "y" * (50 + k) + "".join(edited) + "z" * 50)
     assert missed == 0
+
+
+@pytest.mark.parametrize("length", [3, 7, 10, 12, 15, 20, 23, 30, 31])
+def test_short_items(length):
+    pick = random.Random(4)
+    for _ in range(20):
+        item = "".join(pick.choice("abcdefghij") for _ in range(length))
+        index, edited = decontaminate.Windows([(1, item)]), list(item)
+        k = int(length * decontaminate.ERROR_RATE)
+        for n in range(k):
+            edited[(n + 1) * length // (k + 1)] = "x"
+        assert _found(index, "y" * 40 + "".join(edited) + "z" * 40)
+        assert not _found(index, "yz" * 40)
