@@ -3,8 +3,7 @@
 Per host, a path becomes a sequence of segments with runs of digits written ``#``. Level by level, a branch is replaced
 by the wildcard ``*`` when its parent has many narrow children (a variable segment), or when its rate of good labels
 does not differ from its parent's by more than Z standard errors (statistically similar branches are merged). What is
-left is the host's template; a template is rejected if its share of good labels, smoothed towards its host's and that
-towards the corpus', is under MIN_PURITY. Segments from MAX_LEVELS on belong to one branch, ``**``.
+left is the host's template; a template is rejected if its share of good labels, smoothed towards its host's and that towards the corpus', is under MIN_PURITY. Segments from MAX_LEVELS on belong to one branch, ``**``.
 
 Only aggregates per (host, template) are shuffled between levels, never pages. Defined cases: a null url or one without
 ``://`` has an empty host and path and goes through the method like any other host; a page without a label counts for
@@ -26,7 +25,6 @@ RULES = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
-MAX_LEVELS = 8
 WIDE = 20
 NARROW = 0.05
 Z = 1.96
@@ -54,9 +52,8 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return F.coalesce(*fits)
 
 
-def shape_of(path: Column, levels: int = MAX_LEVELS) -> Column:
-    segments = F.filter(F.split(F.regexp_replace(path, "[0-9]+", "#"), "/", -1), lambda s: s != "")
-    return F.when(F.size(segments) > levels, F.concat(F.slice(segments, 1, levels), F.array(F.lit("**")))).otherwise(segments)
+def shape_of(path: Column) -> Column:
+    return F.filter(F.split(F.regexp_replace(path, "[0-9]+", "#"), "/", -1), lambda s: s != "")
 
 
 def template_verdicts(located: DataFrame, labels: DataFrame, folder: str) -> DataFrame:
@@ -70,12 +67,13 @@ def template_verdicts(located: DataFrame, labels: DataFrame, folder: str) -> Dat
         located.join(marks, F.col("page_id") == F.col("_label_id"), "left")
         .groupBy("_host", "_shape")
         .agg(F.count("*").alias("_n"), F.coalesce(F.sum("_lab"), F.lit(0)).alias("_lab"), F.coalesce(F.sum("_good"), F.lit(0)).alias("_good"))
-        .withColumn("_segs", F.col("_shape"))
+        .withColumns({"_segs": F.col("_shape"), "_at": F.lit(0)})
     )
-    nodes = materialise(nodes, "nodes", folder)
-    depth = nodes.agg(F.max(F.size("_segs"))).first()[0] or 0
-    for level in range(depth):
-        nodes = materialise(_merge_level(nodes, level), f"level{level}", folder)
+    nodes, last, level = materialise(nodes, "nodes", folder), "nodes", 0
+    while nodes.where(F.size("_segs") > F.col("_at")).limit(1).count():
+        nodes = materialise(_merge_level(_skip_shared(nodes)), f"level{level}", folder)
+        remove_folder(nodes.sparkSession, f"{folder}/{last}")
+        last, level = f"level{level}", level + 1
     totals = nodes.groupBy().agg(F.sum("_lab").alias("_all_lab"), F.sum("_good").alias("_all_good"))
     hosts = nodes.groupBy("_host").agg(F.sum("_lab").alias("_host_lab"), F.sum("_good").alias("_host_good"))
     leaves = nodes.groupBy("_host", "_segs").agg(F.sum("_lab").alias("_leaf_lab"), F.sum("_good").alias("_leaf_good"))
@@ -86,9 +84,26 @@ def template_verdicts(located: DataFrame, labels: DataFrame, folder: str) -> Dat
     return nodes.join(judged, ["_host", "_segs"]).select("_host", "_shape", "_purity", F.concat(F.lit("/"), F.array_join("_segs", "/")).alias("_template"))
 
 
-def _merge_level(nodes: DataFrame, level: int) -> DataFrame:
-    prefix, segment = F.slice("_segs", 1, level), F.get("_segs", F.lit(level))
-    children = nodes.where(F.size("_segs") > level).groupBy("_host", prefix.alias("_prefix"), segment.alias("_seg")).agg(F.sum("_n").alias("_n"), F.sum("_lab").alias("_lab"), F.sum("_good").alias("_good"))
+def _skip_shared(nodes: DataFrame) -> DataFrame:
+    """Wildcards for the segments that all nodes below a prefix share."""
+    prefix, rest = F.slice("_segs", F.lit(1), F.col("_at")), F.slice("_segs", F.col("_at") + 1, F.greatest(F.size("_segs"), F.lit(1)))
+    below = nodes.where(F.size("_segs") > F.col("_at")).groupBy("_host", prefix.alias("_prefix")).agg(F.min(rest).alias("_lo"), F.max(rest).alias("_hi"))
+    differ = F.array_position(F.zip_with("_lo", "_hi", lambda a, b: a.eqNullSafe(b)), False).cast("int")
+    shared = below.select("_host", "_prefix", F.when(differ == 0, F.size("_lo")).otherwise(differ - 1).alias("_same"))
+    going = F.col("_same").isNotNull() & (F.size("_segs") > F.col("_at"))
+    after = F.slice("_segs", F.col("_at") + F.col("_same") + 1, F.greatest(F.size("_segs"), F.lit(1)))
+    return (
+        nodes.withColumn("_prefix", prefix)
+        .join(shared, ["_host", "_prefix"], "left")
+        .withColumn("_segs", F.when(going, F.concat("_prefix", F.array_repeat(F.lit("*"), F.col("_same")), after)).otherwise(F.col("_segs")))
+        .withColumn("_at", F.when(F.col("_same").isNotNull(), F.col("_at") + F.col("_same")).otherwise(F.col("_at")))
+        .drop("_prefix", "_same")
+    )
+
+
+def _merge_level(nodes: DataFrame) -> DataFrame:
+    prefix, segment = F.slice("_segs", F.lit(1), F.col("_at")), F.get("_segs", F.col("_at"))
+    children = nodes.where(F.size("_segs") > F.col("_at")).groupBy("_host", prefix.alias("_prefix"), segment.alias("_seg")).agg(F.sum("_n").alias("_n"), F.sum("_lab").alias("_lab"), F.sum("_good").alias("_good"))
     parents = children.groupBy("_host", "_prefix").agg(F.count("*").alias("_k"), F.sum("_n").alias("_pn"), F.sum("_lab").alias("_plab"), F.sum("_good").alias("_pgood"))
     rate = F.col("_pgood") / F.col("_plab")
     variable = (F.col("_k") > WIDE) & (F.col("_n") < NARROW * F.col("_pn"))
@@ -97,7 +112,8 @@ def _merge_level(nodes: DataFrame, level: int) -> DataFrame:
     return (
         nodes.withColumns({"_prefix": prefix, "_seg": segment})
         .join(merged, ["_host", "_prefix", "_seg"], "left")
-        .withColumn("_segs", F.when(F.col("_wild"), F.concat(F.col("_prefix"), F.array(F.lit("*")), F.slice("_segs", level + 2, MAX_LEVELS + 1))).otherwise(F.col("_segs")))
+        .withColumn("_segs", F.when(F.col("_wild"), F.concat(F.col("_prefix"), F.array(F.lit("*")), F.slice("_segs", F.col("_at") + 2, F.greatest(F.size("_segs"), F.lit(1))))).otherwise(F.col("_segs")))
+        .withColumn("_at", F.col("_at") + 1)
         .drop("_prefix", "_seg", "_wild")
     )
 
@@ -106,10 +122,8 @@ def filter_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:
     """page_id, host, path, rule, verdict, template and purity of every page."""
     located = pages.select("page_id", host_of(F.col("url")).alias("_host"), path_of(F.col("url")).alias("_path"))
     located = located.withColumn("_shape", shape_of(F.col("_path")))
-    spark, folder = pages.sparkSession, shared_folder(pages.sparkSession)
+    folder = shared_folder(pages.sparkSession)
     judged = materialise(template_verdicts(located, labels, folder), "judged", folder)
-    for name in ("nodes", *(f"level{i}" for i in range(MAX_LEVELS + 1))):
-        remove_folder(spark, f"{folder}/{name}")
     matched = located.withColumn("_rule", rule_of(F.col("_host"), F.col("_path")))
     by_method = F.when(F.col("_purity") < MIN_PURITY, "block").otherwise("allow")
     return matched.join(judged, ["_host", "_shape"], "left").select(
