@@ -45,13 +45,16 @@ BLOCK_SCHEMA = "part int, block int, dict_hash string, first_start long, n_token
 class Encoder:
     """The tokenizers library with a memory of words.
 
-    For byte-level BPE without normalizer, a single space between two non-space characters always starts a new piece,
-    so a text without runs of white space is the sequence of its space-separated words. New words go to the library in
-    one line; the tokens that begin with the space part its ids again. Any other text, and any other kind of tokenizer,
-    goes to it whole.
+    For byte-level BPE without normalizer, a space or line end between two other characters always starts a new piece, and
+    a space goes with the word after it. A text whose only white space are spaces and line ends, never three together
+    nor two at its end, is therefore the sequence of its words, each with what stands before it. Marks at the end
+    of a word are a piece of their own. New words go to the library in one line, whose ids part again where tokens begin
+    with the space (or are the line end). Any other text, and any other kind of tokenizer, goes to it whole.
     """
 
-    _runs = re.compile(r"\s\s")
+    _other_space = re.compile(r"[^\S \n]")
+    _long_runs = re.compile(r"[ \n]{3}|[ \n][ \n]\Z")
+    _marks = ",.;:!?*$%#"
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -64,48 +67,88 @@ class Encoder:
             made = json.load(text)
         pre, special = made.get("pre_tokenizer") or {}, [t for t in made.get("added_tokens", []) if t["special"]]
         plain = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and not made.get("normalizer")
-        self.special = special[0] if plain and len(made["added_tokens"]) == 1 and special and not (special[0]["lstrip"] or special[0]["rstrip"] or special[0]["single_word"]) else None
+        plain = plain and len(made["added_tokens"]) == 1 and special and not (special[0]["lstrip"] or special[0]["rstrip"] or special[0]["single_word"])
         vocabulary = self.tokenizer.get_vocab()
         self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
         self.begins[[i for token, i in vocabulary.items() if token.startswith("\u0120")]] = True  # the space, as byte-level vocabularies write it
+        self.line_end = self._library(["\n"])[0]
+        self.special = special[0]["content"] if plain and len(self.line_end) == 1 else None
         self.known: dict[str, bytes] = {}
         self.known_before: dict[str, bytes] = {}
+        self.known_marks: dict[str, bytes] = {}
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
         out: list[bytes | None] = [None] * len(texts)
-        words: list[list[str]] = []
-        simple = []
+        words: list[str] = []  # each without the space before it; the first of a text as if a line end stood before it
+        simple, ends = [], []
         for i, text in enumerate(texts):
-            if self.special and text and self.special["content"] not in text and not (text[0].isspace() or text[-1].isspace() or self._runs.search(text)):
-                first, *rest = text.split(" ")
-                words.append([first, *rest])
+            if self.special and text and self.special not in text and self._parts(text):
+                at = len(words)
+                words += text.replace("\n", " \n").split(" ")
+                words[at] = "\n" + words[at]
                 simple.append(i)
-        self._learn({w for ws in words for w in ws[1:]})
-        firsts = self._library([ws[0] for ws in words])
-        for i, first, ws in zip(simple, firsts, words):
-            out[i] = first.tobytes() + b"".join(map(self.known.__getitem__, ws[1:]))
-        others = [i for i, ids in enumerate(out) if ids is None]
-        for i, ids in zip(others, self._library([texts[i] for i in others])):
-            out[i] = ids.tobytes()
-        return out
-
-    def _learn(self, words: set[str]) -> None:
+                ends.append(len(words))
         if len(self.known) > REMEMBERED:
             self.known, self.known_before = {}, self.known
-        missing = words.difference(self.known)
-        if again := missing.intersection(self.known_before):
-            self.known.update(zip(again, map(self.known_before.__getitem__, again)))
-            missing -= again
+        ids = list(map(self.known.get, words))
+        missing = [k for k, known in enumerate(ids) if known is None]
         if missing:
-            new = list(missing)
-            ids = self._library([" " + " ".join(new)])[0]
-            starts = np.flatnonzero(self.begins[ids]).tolist()
-            blob = ids.tobytes()
-            self.known.update((w, blob[4 * a : 4 * b]) for w, a, b in zip(new, starts, [*starts[1:], len(ids)], strict=True))
+            self._learn({words[k] for k in missing})
+        for k in missing:
+            ids[k] = self.known[words[k]]
+        for i, a, b in zip(simple, [0, *ends], ends):
+            out[i] = b"".join(ids[a:b])[4:]
+        others = [i for i, coded in enumerate(out) if coded is None]
+        for i, coded in zip(others, self._library([texts[i] for i in others])):
+            out[i] = coded.tobytes()
+        return out
+
+    def _parts(self, text: str) -> bool:
+        """Whether the text is the sequence of its words."""
+        if self._other_space.search(text):
+            return False
+        runs = "  " in text or "\n\n" in text or " \n" in text or "\n " in text
+        return not (runs and self._long_runs.search(text))
+
+    def _learn(self, missing: set[str]) -> None:
+        known, before = self.known, self.known_before
+        new, after_end, marked = [], [], []
+        for w in missing:
+            if w in before:
+                known[w] = before[w]
+            elif w.isalpha():
+                new.append(w)
+            else:
+                base = w.rstrip(self._marks)
+                if base != w and base[-1:].isalpha():
+                    marked.append((w, base))
+                    w = base
+                    if w in known or w in missing:
+                        continue
+                if w[:1] == "\n":
+                    after_end.append(w[1:])
+                else:
+                    new.append(w)
+        known.update(self._parted({w for w in new if w}, " "))
+        known.update([("\n" + w, blob) for w, blob in self._parted({w for w in after_end if w}, "\n")])
+        known.update({"": self._library([" "])[0].tobytes(), "\n": self.line_end.tobytes()})
+        marks = list({w[len(base) :] for w, base in marked}.difference(self.known_marks))
+        self.known_marks.update(zip(marks, (x.tobytes() for x in self._library(marks))))
+        for w, base in marked:
+            known[w] = known[base] + self.known_marks[w[len(base) :]]
+
+    def _parted(self, words: set[str], before: str) -> Iterator[tuple[str, bytes]]:
+        """Each word with the ids of it and what stands before it."""
+        if not words:
+            return iter(())
+        ids = self._library([before + before.join(words)])[0]
+        starts = np.flatnonzero(self.begins[ids] if before == " " else ids == self.line_end[0]) * 4
+        blob, starts = ids.tobytes(), starts.tolist()
+        return zip(words, [blob[a:b] for a, b in zip(starts, [*starts[1:], len(blob)])], strict=True)
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -122,7 +165,7 @@ def fit_dictionary(docs: DataFrame, tokenizer_file: str, sample_docs: int = SAMP
     chosen = docs.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).collect()
     if not chosen:
         return b"", 0
-    sample = docs.where(F.col("doc_id").isin([r[0] for r in chosen])).select("doc_id", "text").dropDuplicates(["doc_id"])
+    sample = docs.where(F.col("doc_id").isin([r[0] for r in chosen])).groupBy("doc_id").agg(F.min("text").alias("text"))
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
@@ -180,8 +223,10 @@ def write(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = END_I
             yield emit()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select("doc_id", "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    ordered.mapInArrow(run, BLOCK_SCHEMA).write.parquet(f"{folder}/blocks")
+    # the hash deals out the rows that repeat an id, or have none
+    in_order = [F.col("doc_id").asc_nulls_first(), F.col("hash").asc()]
+    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).repartitionByRange(parts, *in_order).sortWithinPartitions(*in_order)
+    ordered.select("doc_id", "text").mapInArrow(run, BLOCK_SCHEMA).write.parquet(f"{folder}/blocks")
     totals = spark.read.schema(BLOCK_SCHEMA).parquet(f"{folder}/blocks").groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"))
     # one row for each part of the file, however many documents there are
     before = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
