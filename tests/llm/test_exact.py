@@ -196,6 +196,24 @@ def test_repeated_bytes(spark):
     assert [found[i] for i in range(len(texts))] == _repeated(texts)
 
 
+def test_repeated_bytes_of_frequent_passages(spark, monkeypatch):
+    """Grams of many places are dealt out over all tasks, and give the same spans."""
+    monkeypatch.setattr(repeats, "HOT", 5)
+    pick = random.Random(7)
+
+    def some(n):
+        return "".join(pick.choice("abcdefgh ") for _ in range(n))
+
+    passage, texts = some(700), []
+    for k in range(40):
+        a, b = pick.randint(0, 300), pick.randint(400, 700)
+        texts.append(some(pick.randint(0, 200)) + passage[a:b] + some(pick.randint(0, 200)))
+    texts += ["x" * 700] * 8 + [passage] * 4 + [passage[:350] + "#" + passage[351:]] * 2 + ["", some(300)]
+    rows = [(None if k % 7 == 0 else k, t) for k, t in enumerate(texts)] + [(-(2**63), passage[:200])]
+    found = sorted(map(repr, (tuple(r) for r in repeats.repeats_query(spark.createDataFrame(rows, "doc_id long, text string")).collect())))
+    assert found == sorted(repr((i, *row)) for (i, _), row in zip(rows, _repeated([t for _, t in rows])))
+
+
 def test_repeated_bytes_of_documents(docs, texts):
     ids = sorted(texts)
     found = {r[0]: tuple(r[1:]) for r in repeats.repeats_query(docs).collect()}
@@ -347,3 +365,19 @@ def test_native_operators_stay_native(spark):
     for name in ("op8_line_dedup", "op9_url_filter"):
         plan = queries.QUERIES[name](spark, ROOT)._jdf.queryExecution().executedPlan().toString()
         assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_word_memory_gives_the_ids_of_the_library(monkeypatch):
+    monkeypatch.setattr(tokenfile, "REMEMBERED", 300)
+    from tokenizers import Tokenizer
+
+    file = P.path("byte_bpe_50k.json")
+    own, library = tokenfile.Encoder(file), Tokenizer.from_file(file)
+    pick = random.Random(3)
+    words = ["a", "Word", "été", "don't", "it's", "x1", "42", "…", "***", "word,", "word's.", "#", "日本語", "", "", "\n", "\n", "\t", " ", "\x1c", " ", "<|endoftext|>", "٣", "á,"]
+    texts = [" ".join(pick.choice(words) for _ in range(pick.randint(0, 12))) for _ in range(2_000)]
+    texts += ["".join(pick.choice(" \nab.,'") for _ in range(pick.randint(0, 9))) for _ in range(4_000)]
+    for at in range(0, len(texts), 500):
+        block = texts[at : at + 500]
+        expected = [np.array(library.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in block]
+        assert own.encode(block) == expected
