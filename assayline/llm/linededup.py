@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from assayline.llm.common import WS, ascii_lower
+from assayline.functions.values import let
+from assayline.llm.common import WS, ascii_lower, materialise, remove_folder, shared_folder
 
 MIN_CHARS = 10
 MIN_DOCS = 2
@@ -31,21 +32,22 @@ def key_of(line: Column) -> Column:
 def dropped_positions(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """(_doc, _text_hash, _positions): the line numbers that each text loses.
 
-    A key travels as two 64-bit hashes with different seeds. The count of documents per key combines on the map side:
-    for a threshold of two, comparing the smallest and largest doc_id is enough; above that the distinct (key, doc)
-    pairs are counted. Spark splits the partitions of frequent keys in the join (adaptive skew join).
+    A key travels as two 64-bit hashes with different seeds; lines are hashed once, into a narrow table. The count of
+    documents per key combines on the map side: for a threshold of two, comparing the smallest and largest doc_id is
+    enough; above that the distinct (key, doc) pairs are counted. The keys found are a table too, so that both sides of
+    the join are plain reads: Spark broadcasts a small one, and else splits the partitions of frequent keys (adaptive
+    skew join).
     """
+    folder = shared_folder(docs.sparkSession)
     keyed = (
         docs.where(F.col("doc_id").isNotNull())
-        .select(
-            F.col("doc_id").alias("_doc"),
-            F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text_hash"),
-            F.posexplode(lines_of(F.col("text"))).alias("_pos", "_line"),
-        )
+        .select(F.col("doc_id").alias("_doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_text_hash"), lines_of(F.col("text")).alias("_lines"))
+        .select("_doc", "_text_hash", F.posexplode("_lines").alias("_pos", "_line"))
         .withColumn("_key", key_of(F.col("_line")))
         .where(F.length("_key") >= min_chars)
         .select("_doc", "_text_hash", "_pos", F.xxhash64("_key").alias("_h1"), F.xxhash64(F.lit(1), "_key").alias("_h2"))
     )
+    keyed = materialise(keyed, "lines", folder)
     if min_docs == 2:
         repeated = keyed.groupBy("_h1", "_h2").agg(F.min("_doc").alias("_keeper"), F.max("_doc").alias("_last")).where("_keeper < _last")
     else:
@@ -54,12 +56,12 @@ def dropped_positions(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int
             .groupBy("_h1", "_h2").agg(F.min("_doc").alias("_keeper"), F.count("*").alias("_docs"))
             .where(F.col("_docs") >= min_docs)
         )
-    return (
-        keyed.join(repeated.select("_h1", "_h2", "_keeper"), ["_h1", "_h2"])
-        .where("_doc > _keeper")
-        .groupBy("_doc", "_text_hash")
-        .agg(F.collect_set("_pos").alias("_positions"))
-    )
+    repeated = materialise(repeated.select("_h1", "_h2", "_keeper"), "repeated", folder)
+    dropped = keyed.join(repeated, ["_h1", "_h2"]).where("_doc > _keeper").groupBy("_doc", "_text_hash")
+    positions = materialise(dropped.agg(F.collect_set("_pos").alias("_positions")), "positions", folder)
+    for name in ("lines", "repeated"):
+        remove_folder(docs.sparkSession, f"{folder}/{name}")
+    return positions
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
@@ -67,8 +69,12 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     drops = dropped_positions(docs.select("doc_id", "text"), min_chars, min_docs).select(F.struct("*").alias("_drop"))
     row = docs.select(F.struct("*").alias("_row"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("_row_hash"))
     lines, positions = lines_of(F.col("_row.text")), F.col("_drop._positions")
-    keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), positions)
-    text = F.when(positions.isNull(), F.coalesce("_row.text", F.lit(""))).otherwise(F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n"))
+
+    def kept(split: Column) -> Column:
+        places = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), positions)
+        return F.array_join(F.transform(places, lambda i: F.get(split, i)), "\n")
+
+    text = F.when(positions.isNull(), F.coalesce("_row.text", F.lit(""))).otherwise(let(lines, kept))
     made = {"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size(positions), F.lit(0)).cast("long"), "text": text}
     rest = [F.col("_row").getField(c).alias(c) for c in docs.columns if c not in made]
     joined = row.join(drops, (F.col("_row.doc_id") == F.col("_drop._doc")) & (F.col("_row_hash") == F.col("_drop._text_hash")), "left")

@@ -78,3 +78,11 @@ def test_chat_and_urls_and_vectors(spark):
     assert ann.ann_query(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     two = spark.createDataFrame([(0, [1.0, 0.0]), (0, [1.0, 0.0]), (20, [1.0, 0.0]), (3, [0.0, 1.0]), (4, [1.0, 2.0, 3.0]), (None, [1.0, 1.0])], "vec_id long, embedding array<double>").withColumn("point", F.lit(1))
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in ann.ann_query(two).collect()) == [(0, 1, 20), (0, 2, 3), (20, 1, 0), (20, 2, 3)]
+
+
+def test_very_many_lines_in_one_text(spark):
+    """A text of 60,000 lines takes seconds, as its lines are parted once."""
+    lines = [f"line number {i % 1000}" if i % 2 else f"own line {i} of it" for i in range(60_000)]
+    frame = spark.createDataFrame([(1, "\n".join(lines)), (2, "line number 17\n\nshort")], "doc_id long, text string")
+    found = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in linededup.line_dedup_query(frame).collect()}
+    assert found == {1: (60_000, 0), 2: (3, 1)}
