@@ -1,17 +1,20 @@
 """Chat formatting: a hidden Markov model recovers who speaks in a transcript, then turns are rendered in one form.
 
-Every line of a conversation is an observation: the speaker marker it starts with (a role column counts as the marker of
-its row's first line), whether it starts a row, its length class and whether it ends as a question. The states are a
-role and whether the line begins a turn or goes on with it. Role changes and line features are counted over all rows
-with a known role; markers are believed up to a small error. Viterbi decoding finds the best path, so a turn whose
-marker is missing or unknown gets the role that fits its neighbours and its own lines. A turn begins where the path
-enters a begin state; markers are cut off, and turns are numbered and rendered as ``<|role|>\\n`` text ``\\n<|end|>\\n``.
+Every line of a conversation is an observation: the speaker marker it starts with, whether it starts a row, whether its
+row starts with a marker, its length class and whether it ends as a question. The states are a role and whether the line
+begins a turn or goes on with it. (A line that starts a row without a marker has the length class of its row.) Role changes and line features are counted over all rows with a known role; the role
+column takes no part in decoding. Markers are believed by their kind: a speaker's name up to a small error, words that
+texts use as well ("Answer:", "A:") only where a row may begin a turn. Viterbi decoding finds the best path, so a
+turn whose marker is missing or unknown gets the role that fits its neighbours and its own lines. A turn begins where
+the path enters a begin state; a marker is cut off only where the path begins a turn of the marker's role, and every
+other character stays. Turns are numbered and rendered as ``<|role|>\\n`` text ``\\n<|end|>\\n``.
 
 Lines stream through a task in conversation order. A decoded prefix leaves memory as soon as all surviving paths agree
 on it, so that a very long conversation is never held as a whole.
 
-Defined cases: a null text is one empty line; null turns come first, equal turns in order of text; a null conv_id is one
-conversation; roles other than the known names count as missing.
+Defined cases: a null text is one empty line; null turns come first, equal turns in order of text; each row with a null
+conv_id is a conversation of its own; roles other than the known names count as missing; with no known roles at all
+every role and shape is as likely as any other.
 """
 
 from __future__ import annotations
@@ -28,8 +31,16 @@ ROLES = ("system", "user", "assistant")
 #: Names that a speaker may go by, in fixed spelling.
 ALIASES = {"system": "system", "user": "user", "human": "user", "customer": "user", "question": "user", "q": "user", "assistant": "assistant", "ai": "assistant", "bot": "assistant", "model": "assistant", "answer": "assistant", "a": "assistant"}
 MARKER = re.compile(r"\s{0,8}(?:#{1,6}\s?|\*\*|\[|<\|?)?(" + "|".join(sorted(ALIASES, key=len, reverse=True)) + r")(?:\*\*\s?:|:\s?\*\*|\]\s?:?|\|?>\s?:?|\s?:)[ \t]?", re.IGNORECASE)
-LENGTHS = (1, 40, 120, 300, 800)
+LENGTHS = (1, 40, 120, 200, 300, 400, 600, 900, 1300)
+SHAPES = 4 * (len(LENGTHS) + 1)
+#: Markers that are hardly ever a text's own words.
+NAMES = ("system", "user", "human", "assistant")
+#: How likely a marker stands on a turn's first line of another role, and within a turn (names, other words), against a
+#: first line of its role.
 MARKER_ERROR = 0.002
+WITHIN_TURN = (0.0005, 0.05)
+#: How likely a line that starts no row begins a turn, and where it and its row start with a marker.
+BEGINS_WITHIN_ROW = (0.02, 0.5)
 ROW_ERROR = 0.02
 TURN_GOES_ON = 0.5
 
@@ -55,38 +66,47 @@ class Model:
                 self.step[s, 2 * r + 1] = np.log(TURN_GOES_ON)
         self.shape = np.log((shapes + 1) / (shapes + 1).sum(axis=1, keepdims=True))
 
-    def emission(self, marker: int | None, starts_row: bool, shape: int) -> np.ndarray:
-        k = len(ROLES)
+    def emission(self, marker: tuple[int, bool] | None, starts_row: bool, row_marked: bool, shape: int) -> np.ndarray:
+        """Log probabilities of a line in each state; ``marker`` is a role and whether it is a name."""
         out = np.repeat(self.shape[:, shape], 2)
-        if marker is not None:  # a marker stands on a first line of its role
-            out += np.log(MARKER_ERROR / (2 * k))
-            out[2 * marker] += np.log(1 - MARKER_ERROR) - np.log(MARKER_ERROR / (2 * k))
-        out[::2] += np.log(1 - ROW_ERROR if starts_row else ROW_ERROR)
-        out[1::2] += np.log(ROW_ERROR if starts_row else 1 - ROW_ERROR)
+        if marker is not None:
+            out[::2] += np.log(MARKER_ERROR)
+            out[2 * marker[0]] -= np.log(MARKER_ERROR)
+            out[1::2] += np.log(WITHIN_TURN[0 if marker[1] else 1])
+        begins = 1 - ROW_ERROR if starts_row else BEGINS_WITHIN_ROW[row_marked and marker is not None]
+        out[::2] += np.log(begins)
+        out[1::2] += np.log(1 - begins)
         return out
 
 
-def read_line(line: str, role: int | None) -> tuple[int | None, str]:
-    """(marker, line without it)."""
+def read_line(line: str) -> tuple[tuple[int, bool] | None, int]:
+    """(marker, where the line goes on behind it)."""
     found = MARKER.match(line)
-    if found:
-        return ROLES.index(ALIASES[found[1].lower()]), line[found.end() :]
-    return role, line
+    if not found:
+        return None, 0
+    name = found[1].lower()
+    return (ROLES.index(ALIASES[name]), name in NAMES), found.end()
 
 
-def shape_of(line: str) -> int:
-    return 2 * length_class(len(line)) + line.rstrip().endswith("?")
+def shape_of(line: str, row_chars: int | None = None) -> int:
+    """Number of the line's shape: its length class (its row's, with ``row_chars``), and whether it ends as a question."""
+    size = len(line) if row_chars is None else row_chars
+    return SHAPES // 2 * (row_chars is not None) + 2 * length_class(size) + line.rstrip().endswith("?")
 
 
 class Decoder:
     """Viterbi over one conversation, line by line."""
 
     def __init__(self, model: Model):
-        self.model, self.score, self.back, self.lines = model, None, [], []
-
-    def add(self, line: str, marker: int | None, starts_row: bool) -> list[tuple[int, str]]:
-        """Take a line; return the lines whose states are settled by now."""
-        seen = self.model.emission(marker, starts_row, shape_of(line))
+        self.model, self.score, self.back, self.lines, self.row_marked = model, None, [], [], False
+
+    def add(self, line: str, row_chars: int | None = None) -> list[tuple[int, str]]:
+        """Take a line, with the length of its row if it is the first of one; return the lines whose states are settled by now, without the markers that their states cut off."""
+        marker, at = read_line(line)
+        starts_row = row_chars is not None
+        if starts_row:
+            self.row_marked = marker is not None
+        seen = self.model.emission(marker, starts_row, self.row_marked, shape_of(line[at:], None if self.row_marked else row_chars))
         if self.score is None:
             self.score, origin = self.model.start + seen, np.zeros(len(seen), dtype=np.int64)
         else:
@@ -94,7 +114,7 @@ class Decoder:
             origin = reach.argmax(axis=0)
             self.score = reach[origin, np.arange(len(seen))] + seen
         self.back.append(origin)
-        self.lines.append(line)
+        self.lines.append((line, at, 2 * marker[0] if marker else -1))
         return self._settle() if len(self.lines) % 64 == 0 else []
 
     def _settle(self) -> list[tuple[int, str]]:
@@ -103,11 +123,15 @@ class Decoder:
             alive = np.unique(self.back[i][alive])
             if len(alive) == 1:
                 done = self._path(i - 1, int(alive[0]))
-                out = list(zip(done, self.lines[:i]))
+                out = self._cut(done, self.lines[:i])
                 self.back, self.lines = self.back[i:], self.lines[i:]
                 return out
         return []
 
+    @staticmethod
+    def _cut(path: list[int], lines: list[tuple[str, int, int]]) -> list[tuple[int, str]]:
+        return [(s, line[at:] if s == begins else line) for s, (line, at, begins) in zip(path, lines)]
+
     def _path(self, last: int, state: int) -> list[int]:
         path = [state]
         for i in range(last, 0, -1):
@@ -117,7 +141,7 @@ class Decoder:
     def close(self) -> list[tuple[int, str]]:
         if self.score is None:
             return []
-        return list(zip(self._path(len(self.lines) - 1, int(self.score.argmax())), self.lines))
+        return self._cut(self._path(len(self.lines) - 1, int(self.score.argmax())), self.lines)
 
 
 def _known(role):
@@ -129,16 +153,17 @@ def fit(conversations: DataFrame) -> Model:
     """Role changes, first roles and line shapes, counted over all rows with a known role."""
     k, rows = len(ROLES), conversations.select("conv_id", "turn", "text", _known(F.col("role")).alias("r"))
     before = F.lag("r").over(Window.partitionBy("conv_id").orderBy("turn", "text"))
-    changes, firsts, shapes = np.zeros((k, k)), np.zeros(k), np.zeros((k, 2 * (len(LENGTHS) + 1)))
+    changes, firsts, shapes = np.zeros((k, k)), np.zeros(k), np.zeros((k, SHAPES))
     for row in rows.withColumn("b", before).where("r is not null").groupBy("b", "r").count().collect():  # at most 12 rows
         if row["b"] is None:
             firsts[row["r"]] += row["count"]
         else:
             changes[row["b"], row["r"]] += row["count"]
-    line = F.explode(F.split(F.coalesce("text", F.lit("")), "\n", -1))
-    size = sum((F.length("line") >= edge).cast("int") for edge in LENGTHS)
-    asks = F.rtrim(F.col("line")).endswith("?").cast("int")
-    for row in rows.where("r is not null").select("r", line.alias("line")).groupBy("r", (2 * size + asks).alias("s")).count().collect():  # at most 36 rows
+    lines = rows.where("r is not null").select("r", F.coalesce("text", F.lit("")).alias("text")).select("r", "text", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    whole = (F.col("at") == 0) & ~F.col("line").rlike(f"(?i)^{MARKER.pattern}")
+    chars = F.length(F.when(whole, F.col("text")).otherwise(F.col("line")))
+    shape = SHAPES // 2 * whole.cast("int") + 2 * sum((chars >= edge).cast("int") for edge in LENGTHS) + F.rtrim(F.col("line")).endswith("?").cast("int")
+    for row in lines.groupBy("r", shape.alias("s")).count().collect():  # at most 120 rows
         shapes[row["r"], row["s"]] += row["count"]
     return Model(changes, firsts, shapes)
 
@@ -146,7 +171,8 @@ def fit(conversations: DataFrame) -> Model:
 def format_chats(conversations: DataFrame, model: Model | None = None) -> DataFrame:
     """conv_id, turn (from 0), role, text and rendered of every recovered turn."""
     model = model or fit(conversations)
-    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("text", F.lit("")).alias("text"), _known(F.col("role")).alias("r"))
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("dealt", F.coalesce("conv_id", F.xxhash64("turn", "text")))  # rows without an id are dealt out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: dict = {"conv": None, "decoder": None, "turn": None, "number": 0, "rows": []}
@@ -177,19 +203,18 @@ def format_chats(conversations: DataFrame, model: Model | None = None) -> DataFr
             return pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
         for batch in batches:
-            for conv, text, role in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "text", "r"))):
-                if state["decoder"] is None or conv != state["conv"]:
+            for conv, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "text"))):
+                if state["decoder"] is None or conv is None or conv != state["conv"]:
                     end_conversation()
                     state.update(conv=conv, decoder=Decoder(model))
                 for i, line in enumerate(text.split("\n")):
-                    marker, plain = read_line(line, role if i == 0 else None)
-                    take(state["decoder"].add(plain, marker, i == 0))
+                    take(state["decoder"].add(line, len(text) if i == 0 else None))
                 if len(state["rows"]) >= 2000:
                     yield flush()
         end_conversation()
         yield flush()
 
-    return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "text").mapInArrow(run, SCHEMA)
+    return rows.repartition("dealt").sortWithinPartitions("conv_id", "turn", "text").drop("dealt").mapInArrow(run, SCHEMA)
 
 
 def chat_query(conversations: DataFrame) -> DataFrame:

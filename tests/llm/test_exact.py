@@ -306,32 +306,60 @@ def test_toxicity_held_out(spark):
     assert sum(toxic) >= 0.85 * len(toxic) and sum(clean) <= 0.01 * len(clean)
 
 
-def test_viterbi_is_the_best_path():
+def _best_turns(model, rows: list[str]) -> set[tuple]:
+    """Every best reading of a conversation, by trying all paths: (role, text) of its turns."""
     import itertools
 
-    pick = np.random.default_rng(3)
-    model = chat.Model(pick.integers(0, 9, (3, 3)), pick.integers(0, 9, 3), pick.integers(0, 9, (3, 12)))
-    for n in (1, 2, 4):
-        seen = [("x" * int(pick.integers(0, 90)), None if pick.random() < 0.5 else int(pick.integers(0, 3)), bool(pick.random() < 0.6)) for _ in range(n)]
-        decoder = chat.Decoder(model)
-        for line in seen:
-            decoder.add(*line)
-        path = [s for s, _ in decoder.close()]
+    lines = []
+    for row in rows:
+        marked = chat.read_line(row.split("\n")[0])[0] is not None
+        for i, line in enumerate(row.split("\n")):
+            marker, at = chat.read_line(line)
+            lines.append((line, at, marker, model.emission(marker, i == 0, marked, chat.shape_of(line[at:], len(row) if i == 0 and not marked else None))))
+    scored = []
+    for states in itertools.product(range(6), repeat=len(lines)):
+        steps = [model.start[states[0]], *(model.step[a, b] for a, b in zip(states, states[1:]))]
+        scored.append((sum(steps) + sum(seen[s] for s, (*_, seen) in zip(states, lines)), states))
+    best, readings = max(scored)[0], set()
+    for total, states in scored:
+        if total > best - 1e-9:
+            turns = []
+            for s, (line, at, marker, _) in zip(states, lines):
+                text = line[at:] if marker and s == 2 * marker[0] else line
+                if s % 2 == 0:
+                    turns.append([chat.ROLES[s // 2], text])
+                else:
+                    turns[-1][1] += "\n" + text
+            readings.add(tuple(map(tuple, turns)))
+    return readings
+
+
+def test_chats_are_the_best_readings(spark):
+    pick, parts = random.Random(8), ["User: ", "Assistant: ", "### Human: ", "A: ", "Answer: ", "", "", "", "[system] "]
+    spoken = ["hi", "x" * 90, "what is it?", "", "no: " * 200]
+    chats = {c: ["\n".join(pick.choice(parts) + pick.choice(spoken) for _ in range(pick.randint(1, 2))) for _ in range(pick.randint(1, 3))] for c in range(25)}
+    frame = spark.createDataFrame([(c, t, pick.choice(["user", "assistant", None]), row) for c, rows in chats.items() for t, row in enumerate(rows)], "conv_id long, turn long, role string, text string")
+    model = chat.fit(frame)
+    found = defaultdict(list)
+    for r in chat.chat_query(frame).orderBy("conv_id", "turn").collect():
+        found[r["conv_id"]].append((r["role"], r["text"]))
+        assert r["rendered"] == f"<|{r['role']}|>\n{r['text']}\n<|end|>\n"
+    assert all(tuple(found[c]) in _best_turns(model, rows) for c, rows in chats.items() if sum(row.count("\n") + 1 for row in rows) <= 6)
 
-        def score(states):
-            total = model.start[states[0]]
-            for i, s in enumerate(states):
-                total += model.emission(seen[i][1], seen[i][2], chat.shape_of(seen[i][0]))[s] + (model.step[states[i - 1], s] if i else 0)
-            return total
 
-        assert score(path) == pytest.approx(max(map(score, itertools.product(range(6), repeat=n))))
+def test_words_that_look_like_markers_stay(spark):
+    model = chat.fit(spark.read.parquet(f"{ROOT}/conversations.parquet"))
+    thought = "Let me think.\nAnswer: 42\nModel: gamma ray\nA: first choice"
+    frame = spark.createDataFrame([(1, 0, None, "User: What is it?"), (1, 1, None, thought)], "conv_id long, turn long, role string, text string")
+    found = [(r["turn"], r["text"]) for r in chat.format_chats(frame, model).orderBy("turn").collect()]
+    assert found == [(0, "What is it?"), (1, thought)]
 
 
 def test_long_conversations_settle():
-    model = chat.Model(np.ones((3, 3)), np.ones(3), np.ones((3, 12)))
+    model = chat.Model(np.ones((3, 3)), np.ones(3), np.ones((3, chat.SHAPES)))
     decoder, whole, early = chat.Decoder(model), [], 0
     for i in range(1000):
-        whole += decoder.add("line", i % 3 if i % 4 == 0 else None, i % 4 == 0)
+        whole += decoder.add(("User: ", "Bot: ", "")[i % 3] + "line" if i % 4 == 0 else "line", 9 if i % 4 == 0 else None)
         early = max(early, len(decoder.lines))
     whole += decoder.close()
     assert len(whole) == 1000 and early < 200
@@ -341,10 +369,14 @@ def test_hidden_roles_come_back(spark):
     from pyspark.sql import functions as F
 
     frame = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
-    hidden = frame.withColumn("told", F.when(F.xxhash64("conv_id", "turn") % 4 != 0, F.col("role")))
-    made = chat.format_chats(hidden.select("conv_id", "turn", "text", F.col("told").alias("role")))
-    right = made.alias("m").join(hidden.alias("h"), ["conv_id", "turn"]).where("m.role = h.role").count()
-    assert right >= 0.95 * frame.count()
+    hidden = F.xxhash64("conv_id") % 4 == 0
+    model = chat.fit(frame.where(~hidden))
+    held = frame.where(hidden)
+    made = chat.format_chats(held.withColumn("role", F.lit(None).cast("string")), model)
+    right = made.alias("m").join(held.alias("h"), ["conv_id", "turn"]).where("m.role = h.role").count()
+    assert right >= 0.88 * held.count()
+    # the role column takes no part in decoding
+    assert sorted(made.collect()) == sorted(chat.format_chats(held, model).collect())
 
 
 def test_transcripts(spark):
