@@ -249,10 +249,10 @@ def link_fingerprints(points: DataFrame, radius: int) -> DataFrame:
 
 
 def _group_of(points: DataFrame, linked: DataFrame, key: str) -> DataFrame:
-    """(key, component_id): the smallest doc_id of the point's component. ``points`` has key and _first, its own smallest."""
+    """(_key, component_id, _root): the smallest doc_id of the point's component, and a name of the component. ``points`` has key and _first, its own smallest."""
     rooted = points.join(linked, points[key] == linked["node"], "left").select(key, "_first", F.coalesce("root", key).alias("_root"))
     least = rooted.groupBy("_root").agg(F.min("_first").alias("component_id"))
-    return rooted.join(least, "_root").select(F.col(key).alias("_key"), "component_id")
+    return rooted.join(least, "_root").select(F.col(key).alias("_key"), "component_id", "_root")
 
 
 def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFrame:
@@ -261,7 +261,7 @@ def simhash_components(docs: DataFrame, words: int = 3, radius: int = 2) -> Data
     marked = materialise(fingerprints(docs, words), "fingerprints", folder)
     points = materialise(marked.groupBy("fp0").agg(F.min("doc_id").alias("_first")), "points", folder)
     groups = _group_of(points, link_fingerprints(points, radius), "fp0")
-    return marked.join(groups, F.col("fp0") == F.col("_key")).drop("_key")
+    return marked.join(groups, F.col("fp0") == F.col("_key")).drop("_key", "_root")
 
 
 def band_recall(bits: int, bands: int, radius: int = SIMILAR_RADIUS, differ: float = DIFFER_AT_SIMILAR) -> float:
@@ -403,7 +403,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def near_duplicate_groups(docs: DataFrame, words: int = 5, radius: int = SIMILAR_RADIUS) -> DataFrame:
-    """doc_id and component_id: documents whose sets of ``words``-word shingles are 0.8 similar, and what such links join.
+    """doc_id, component_id (and _root, _text_key, names of the component and of the text): documents whose sets of ``words``-word shingles are 0.8 similar, and what such links join.
 
     Links are exact. A pair at 0.8 is proposed if its 256-bit fingerprints lie within ``radius`` bits and share a band
     (see ``band_recall``), more similar ones more surely.
@@ -427,16 +427,18 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, radius: int = SIMILAR
     joined = active.join(components(links), F.col("point") == F.col("node"), "left").withColumn("component", F.coalesce("root", "point"))
     others = _proposals(_banded(joined, bands, ["point", "component"], names), names, radius, True)
     links = materialise(links.unionByName(_verified(materialise(others, "open", folder), sets)), "all_links", folder)
-    return marked.select("doc_id", "point").join(_group_of(points, components(links), "point"), F.col("point") == F.col("_key")).select("doc_id", "component_id")
+    return marked.select("doc_id", "_text_key", "point").join(_group_of(points, components(links), "point"), F.col("point") == F.col("_key")).select("doc_id", "component_id", "_root", "_text_key")
 
 
 def keep_one_of_each(docs: DataFrame, words: int = 5, radius: int = SIMILAR_RADIUS) -> DataFrame:
-    """``docs`` without near duplicates: of each group the row with the smallest doc_id stays (rows with a null doc_id stay)."""
-    kept = near_duplicate_groups(docs, words, radius).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    """``docs`` without near duplicates: of each group the document with the smallest doc_id stays. Rows that repeat a
+    doc_id with its text are one document and stay or go together; with another text they are another document, and of
+    two such in one group the one with the smaller hash stays. Rows with a null doc_id stay."""
+    found = near_duplicate_groups(docs, words, radius).where("doc_id = component_id")
+    kept = found.groupBy(F.col("doc_id").alias("_kept"), "_root").agg(F.min("_text_key").alias("_kept_text")).select("_kept", "_kept_text").distinct()
     named = docs.where("doc_id is not null")
-    if named.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        named = named.dropDuplicates(["doc_id"])  # rows that repeat a doc_id are one document
-    return named.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").unionByName(docs.where("doc_id is null"))
+    same = (named["doc_id"] == F.col("_kept")) & (F.xxhash64(F.coalesce(named["text"], F.lit(""))) == F.col("_kept_text"))
+    return named.join(kept, same, "left_semi").unionByName(docs.where("doc_id is null"))
 
 
 def simhash_query(docs: DataFrame) -> DataFrame:

@@ -9,7 +9,8 @@ fitted in one task; its weights (FEATURES at most) go to every scoring task.
 
 Defined cases: a null or empty text has no features and gets the chain's base rates; labels that are null or belong to
 no document are left out, several labels of a document count as its highest; with no labels of both kinds a category's
-probability is its smoothed base rate, and 0 with no labels at all; rows with a null doc_id are scored like any other.
+probability is its smoothed base rate, and 0 with no labels at all; rows with a null doc_id are scored like any other;
+of rows that repeat a doc_id the smallest text is fitted on. ``keep_clean`` leaves all columns as they are.
 """
 
 from __future__ import annotations
@@ -151,7 +152,11 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[Category] | None
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).drop("_id")
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = {r["doc_id"]: r for b in batches for r in b.to_pylist()}
+        rows: dict[int, dict] = {}
+        for r in (r for b in batches for r in b.to_pylist()):
+            held = rows.setdefault(r["doc_id"], r)
+            if (r["text"] or "") < (held["text"] or ""):
+                rows[r["doc_id"]] = r
         ordered = [rows[i] for i in sorted(rows)]
         y = np.array([[r[f"_y{k}"] for k in range(len(names))] for r in ordered]).reshape(len(ordered), len(names))
         folds = np.array([(r["doc_id"] * 0x9E3779B1 >> 7) % FOLDS for r in ordered], dtype=np.int64)
@@ -172,9 +177,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[Category] | None
     return chain
 
 
-def score(docs: DataFrame, chain: Chain) -> DataFrame:
-    """``docs`` with a column p_<category> for each category."""
-    added = [f"p_{n}" for n in chain.names]
+def score(docs: DataFrame, chain: Chain, prefix: str = "p_") -> DataFrame:
+    """``docs`` with a column p_<category> for each category, in place of columns so named."""
+    added = [f"{prefix}{n}" for n in chain.names]
     rest = [c for c in docs.columns if c not in added]
     schema = docs.select(*rest, *(F.lit(0.0).alias(a) for a in added)).schema
 
@@ -195,4 +200,5 @@ def toxicity_query(docs: DataFrame, labels: DataFrame, reject_at: float = REJECT
 
 def keep_clean(docs: DataFrame, labels: DataFrame, reject_at: float = REJECT_AT) -> DataFrame:
     """``docs`` without the rows that the chain finds toxic."""
-    return score(docs, train(docs, labels)).where(F.col("p_toxic") < reject_at).select(*docs.columns)
+    prefix = "_" * (1 + max((len(c) for c in docs.columns), default=0))  # longer than any column's name
+    return score(docs, train(docs, labels), prefix).where(F.col(f"{prefix}toxic") < reject_at).select(*docs.columns)

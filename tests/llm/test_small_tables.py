@@ -86,3 +86,16 @@ def test_very_many_lines_in_one_text(spark):
     frame = spark.createDataFrame([(1, "\n".join(lines)), (2, "line number 17\n\nshort")], "doc_id long, text string")
     found = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in linededup.line_dedup_query(frame).collect()}
     assert found == {1: (60_000, 0), 2: (3, 1)}
+
+
+def test_rows_that_repeat_an_id(spark):
+    text = " ".join(f"word{k}" for k in range(60))
+    rows = [(1, text, "a"), (1, text, "b"), (1, "something else altogether of its own kind", "c"), (2, text + " more", "d"), (None, text, "e")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, note string")
+    assert sorted(r["note"] for r in simhash.keep_one_of_each(frame).collect()) == ["a", "b", "c", "e"]
+
+
+def test_own_columns_stay_in_the_toxicity_stage(spark):
+    frame = spark.createDataFrame([(1, "fine", 17.0, "x"), (2, "well", 18.0, "y")], "doc_id long, text string, p_toxic double, p_low_quality string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0)], LABELS)
+    assert sorted(map(tuple, toxicity.keep_clean(frame, labels).collect())) == [(1, "fine", 17.0, "x"), (2, "well", 18.0, "y")]
