@@ -37,7 +37,7 @@ DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 BLOCK_BYTES = 4 << 20
 BLOCK_CHARS = 1_000_000
-REMEMBERED = 250_000
+REMEMBERED = 600_000
 
 BLOCK_SCHEMA = "part int, block int, dict_hash string, first_start long, n_tokens long, doc_ids array<long>, counts array<int>, offsets array<int>, data binary"
 
@@ -52,7 +52,7 @@ class Encoder:
     with the space (or are the line end). Any other text, and any other kind of tokenizer, goes to it whole.
     """
 
-    _other_space = re.compile(r"[^\S \n]")
+    _other_space = tuple(c for c in map(chr, range(0x3100)) if c.isspace() and c not in " \n")
     _long_runs = re.compile(r"[ \n]{3}|[ \n][ \n]\Z")
     _marks = ",.;:!?*$%#"
 
@@ -109,8 +109,9 @@ class Encoder:
 
     def _parts(self, text: str) -> bool:
         """Whether the text is the sequence of its words."""
-        if self._other_space.search(text):
-            return False
+        for space in self._other_space:
+            if space in text:
+                return False
         runs = "  " in text or "\n\n" in text or " \n" in text or "\n " in text
         return not (runs and self._long_runs.search(text))
 
@@ -223,10 +224,8 @@ def write(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = END_I
             yield emit()
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # the hash deals out the rows that repeat an id, or have none
-    in_order = [F.col("doc_id").asc_nulls_first(), F.col("hash").asc()]
-    ordered = docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).repartitionByRange(parts, *in_order).sortWithinPartitions(*in_order)
-    ordered.select("doc_id", "text").mapInArrow(run, BLOCK_SCHEMA).write.parquet(f"{folder}/blocks")
+    in_order = F.col("doc_id").asc_nulls_first()
+    docs.select("doc_id", "text").repartitionByRange(parts, in_order).sortWithinPartitions(in_order).mapInArrow(run, BLOCK_SCHEMA).write.parquet(f"{folder}/blocks")
     totals = spark.read.schema(BLOCK_SCHEMA).parquet(f"{folder}/blocks").groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"))
     # one row for each part of the file, however many documents there are
     before = F.sum("n_tokens").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
