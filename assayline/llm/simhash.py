@@ -11,9 +11,9 @@ components of those links are the groups.
 The tree prunes while the radius is small against the spread of distances (4 bits for 64). Similarity 0.8 needs a radius
 of 22 % of the bits, where no branch can be pruned, so ``near_duplicate_groups`` shards 256-bit fingerprints of shingle
 sets by bands (random choices of bits that overlap), enough of them that a pair at 0.8 shares one with probability
-BAND_RECALL, and searches each band's bucket. What it finds are proposals: only those whose shingle sets are SIMILAR
-exactly become links. A first round proposes one partner for each point; a second one proposes all pairs within the
-radius that the verified links of the first have not joined.
+BAND_RECALL, and searches each band's bucket. What the buckets chain together is a family; the shingle sets of a
+family are compared exactly, and only similar ones become links. A large family is dealt out in blocks, every pair of
+blocks to a task of its own; a task returns links that join what is similar, at most one for each set, never its pairs.
 
 Defined cases: a null text is an empty one; texts without words have fingerprint zero and link like any others; a null
 doc_id has a fingerprint, and its group's smallest doc_id that is not null (null if there is none).
@@ -42,6 +42,8 @@ BUCKET_POINTS, BAND_BITS, BAND_RECALL = 512, 12, 0.998
 #: Bits that may differ at similarity 0.8, of 256: 38.8 are expected (angle between the shingle sets), 5.7 are one deviation.
 SIMILAR_RADIUS = 57
 DIFFER_AT_SIMILAR = 0.1515
+#: Sets and shingles of a family's block, about.
+BLOCK_SETS, BLOCK_GRAMS = 2_048, 2_000_000
 
 
 def shingle_hashes(text: str | None, words: int) -> np.ndarray:
@@ -209,6 +211,24 @@ def _segments(batches: Iterator[pa.RecordBatch], key: str, names: list[str]) ->
         yield np.concatenate(held)
 
 
+def chained(prints: np.ndarray, radius: int) -> np.ndarray:
+    """As ``link_leaf``, for few wide fingerprints of which nearly all pairs lie beyond the radius: by their matrix."""
+    n = len(prints)
+    if n > LOCAL_POINTS:
+        return link_leaf(prints, radius)
+    far = np.zeros((n, n), dtype=np.uint16)
+    for lane in prints.T:
+        far += np.bitwise_count(lane[:, None] ^ lane[None, :])
+    near, roots = far <= radius, np.arange(n)
+    for i in np.flatnonzero(near.sum(axis=1) > 1).tolist():
+        if roots[i] == i:
+            group, size = near[i], 0
+            while size < (size := int(group.sum())):
+                group = near[group].any(axis=0)
+            roots[group] = i
+    return roots
+
+
 def _links_in_runs(sharded: DataFrame, key: str, names: list[str], radius: int) -> DataFrame:
     """(a, b) for every run of equal keys: the first of ``names`` identifies a point, here of one and its local root.
     The others are its fingerprint; with one name it is both."""
@@ -218,7 +238,7 @@ def _links_in_runs(sharded: DataFrame, key: str, names: list[str], radius: int)
         for rows in _segments(batches, key, names):
             if len(rows) < 2:
                 continue
-            roots = link_leaf(np.ascontiguousarray(rows[:, 1:] if len(names) > 1 else rows).view(np.uint64), radius)
+            roots = chained(np.ascontiguousarray(rows[:, 1:]).view(np.uint64), radius) if len(names) > 1 else link_leaf(rows.view(np.uint64), radius)
             linked = np.flatnonzero(roots != np.arange(len(roots)))
             if len(linked):
                 a.append(rows[linked, 0])
@@ -328,85 +348,73 @@ def _banded(points: DataFrame, bands: np.ndarray, carried: list[str], names: lis
     return points.select(*carried, *names).mapInArrow(band, ", ".join(f"{n} long" for n in ["band", *carried, *names]))
 
 
-def _close(prints: np.ndarray, others: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(first row, matrix of which others lie within ``radius``) for blocks of ``prints``."""
-    step = max(1, (1 << 20) // max(1, len(others)))
-    for at in range(0, len(prints), step):
-        d = np.zeros((len(prints[at : at + step]), len(others)), dtype=np.uint16)
-        for lane in range(prints.shape[1]):
-            d += np.bitwise_count(prints[at : at + step, None, lane] ^ others[None, :, lane])
-        yield at, d <= radius
-
-
-def first_partners(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, partner) for every row with another one within ``radius``: the first row within it, or a local root."""
-    n = len(prints)
-    if n > LOCAL_POINTS:
-        roots = link_leaf(prints, radius)
-        some = np.bincount(roots, minlength=n)[roots] > 1
-        return np.flatnonzero(some), roots[some]
-    rows, firsts = [], []
-    for at, near in _close(prints, prints, radius):
-        some = np.flatnonzero(near.sum(axis=1) > 1)
-        rows.append(some + at)
-        firsts.append(near[some].argmax(axis=1))
-    return np.concatenate(rows), np.concatenate(firsts)
-
-
-def open_pairs(prints: np.ndarray, component: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Every pair of rows within ``radius`` of each other whose components differ, in blocks."""
-    order = np.argsort(component, kind="stable")
-    cuts = np.append(np.flatnonzero(np.diff(component[order], prepend=component[order[0]] - 1)), len(order))
-    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        if b < len(order):
-            for at, near in _close(prints[order[a:b]], prints[order[b:]], radius):
-                i, j = np.nonzero(near)
-                if len(i):
-                    yield order[a + at + i], order[b + j]
-
-
-def _proposals(banded: DataFrame, names: list[str], radius: int, joined: bool) -> DataFrame:
-    """(a, b) with a >= b of each band's bucket: first partners (a = b if it is the point itself), or, with a column
-    ``component``, the open pairs."""
-    carried = ["point", "component"] if joined else ["point"]
-
-    def pairs(rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        prints = np.ascontiguousarray(rows[:, len(carried) :]).view(np.uint64)
-        if joined:
-            yield from open_pairs(prints, rows[:, 1], radius)
-        else:
-            yield first_partners(prints, radius)
+def similar_sets(sets: list[np.ndarray], first: int) -> list[tuple[int, int]]:
+    """Links that join whatever is similar (intersection over union at least 0.8): among all sets, or, with ``first``,
+    between the first ones and the others."""
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(n), sizes)
+    _, gram, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[gram] > 1
+    owner, gram = owner[shared], gram[shared]
+    own = np.searchsorted(owner, np.arange(n + 1))
+    order = np.argsort(gram, kind="stable")
+    holders, start = owner[order], np.append(0, np.cumsum(np.bincount(gram, minlength=len(times))))
+    forest, links = Forest(n), []
+    for i in range(first or n):
+        grams = gram[own[i] : own[i + 1]]
+        count = start[grams + 1] - start[grams]
+        at = np.repeat(start[grams] - np.cumsum(count) + count, count) + np.arange(count.sum())
+        both = np.bincount(holders[at], minlength=n)
+        similar = 5 * both >= 4 * (sizes[i] + sizes - both)
+        similar[: max(first, i + 1)] = False
+        for j in np.flatnonzero(similar).tolist():
+            if forest.root(i) != forest.root(j):
+                forest.join(i, np.array([j]))
+                links.append((i, j))
+    return links
+
+
+def _similar_in_families(members: DataFrame) -> DataFrame:
+    """(a, b): links between the similar sets of each family. ``members``: point, family, grams."""
+    size = F.size("grams").cast("long")
+    blocks = members.groupBy("family").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum(size) / BLOCK_GRAMS), F.lit(1)).cast("int").alias("blocks"))
+    placed = members.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int"))
+    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("family", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "point", "grams")
+
+    def solve(key: tuple, rows: list[tuple]) -> list[tuple[int, int]]:
+        if len(rows) < 2:
+            return []
+        first = sum(block == key[1] for block, _, _ in rows) if key[1] < key[2] else 0
+        links = similar_sets([grams for _, _, grams in rows], first) if first < len(rows) and (first or key[1] == key[2]) else []
+        return [(max(rows[i][1], rows[j][1]), min(rows[i][1], rows[j][1])) for i, j in links]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, held = [], [], 0
-        for rows in _segments(batches, "band", [*carried, *names]):
-            if len(rows) < 2:
-                continue
-            for i, j in pairs(rows):
-                a.append(np.maximum(rows[i, 0], rows[j, 0]))
-                b.append(np.minimum(rows[i, 0], rows[j, 0]))
-                held += len(i)
-                if held > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-                    a, b, held = [], [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
-
-    return banded.repartition("band").sortWithinPartitions("band", "point").mapInArrow(run, "a long, b long").distinct()
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose shingle sets (``sets``: point, grams) are similar: intersection over union at least 0.8."""
-    of_a, of_b = (sets.select(F.col("point").alias(k), F.col("grams").alias(f"_{k}")) for k in ("a", "b"))
-    both = F.size(F.array_intersect("_a", "_b"))
-    return pairs.join(of_a, "a").join(of_b, "b").where(5 * both >= 4 * (F.size("_a") + F.size("_b") - both)).select("a", "b")
+        key, rows, out = None, [], []
+        for batch in batches:
+            numbers = zip(*(batch.column(c).to_pylist() for c in ("family", "lo", "hi", "block", "point")))
+            for at, (family, lo, hi, block, point) in enumerate(numbers):
+                if (family, lo, hi) != key:
+                    if rows:
+                        out += solve(key, rows)
+                    key, rows = (family, lo, hi), []
+                rows.append((block, point, batch.column("grams")[at].values.to_numpy()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+            out = []
+        if rows:
+            out = solve(key, rows)
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    keys = ["family", "lo", "hi"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "block", "point").mapInArrow(run, "a long, b long")
 
 
 def near_duplicate_groups(docs: DataFrame, words: int = 5, radius: int = SIMILAR_RADIUS) -> DataFrame:
-    """doc_id, component_id (and _root, _text_key, names of the component and of the text): documents whose sets of ``words``-word shingles are 0.8 similar, and what such links join.
+    """doc_id, component_id (and _root, _text_key, names of the component and of the text): documents whose sets of
+    ``words``-word shingles are 0.8 similar, and what such links join.
 
-    Links are exact. A pair at 0.8 is proposed if its 256-bit fingerprints lie within ``radius`` bits and share a band
-    (see ``band_recall``), more similar ones more surely.
+    Links are exact. A pair at 0.8 is in one family if its 256-bit fingerprints lie within ``radius`` bits and share a
+    band (see ``band_recall``), or by others between them; more similar ones more surely.
     """
     spark, names = docs.sparkSession, ["fp0", "fp1", "fp2", "fp3"]
     folder = shared_folder(spark)
@@ -415,18 +423,12 @@ def near_duplicate_groups(docs: DataFrame, words: int = 5, radius: int = SIMILAR
     points = materialise(marked.groupBy("point", *names).agg(F.min("doc_id").alias("_first"), F.min("_text_key").alias("_text_key")), "points", folder)
     bands = choose_bands(points.count())
 
-    proposed = materialise(_proposals(_banded(points, bands, ["point"], names), names, radius, False), "proposed", folder)
-    active = proposed.select(F.explode(F.array("a", "b")).alias("point")).distinct()
-    active = materialise(points.join(active, "point", "left_semi"), "active", folder)
+    chains = components(_links_in_runs(_banded(points, bands, ["point"], names), "band", ["point", *names], radius))
+    active = points.select("point", "_text_key").join(chains.select(F.col("node").alias("point"), F.col("root").alias("family")), "point")
+    active = materialise(active, "active", folder)
     texts = keyed.select("_text_key", "text").join(active.select("_text_key"), "_text_key", "left_semi")
-    sets = _shingle_sets(texts, words).dropDuplicates(["_text_key"]).join(active.select("_text_key", "point"), "_text_key")
-    sets = materialise(sets.select("point", "grams"), "sets", folder)
-
-    first = proposed.where("a <> b").groupBy("a").agg(F.min("b").alias("b"))
-    links = materialise(_verified(first, sets), "links", folder)
-    joined = active.join(components(links), F.col("point") == F.col("node"), "left").withColumn("component", F.coalesce("root", "point"))
-    others = _proposals(_banded(joined, bands, ["point", "component"], names), names, radius, True)
-    links = materialise(links.unionByName(_verified(materialise(others, "open", folder), sets)), "all_links", folder)
+    members = _shingle_sets(texts, words).dropDuplicates(["_text_key"]).join(active, "_text_key").select("point", "family", "grams")
+    links = _similar_in_families(materialise(members, "members", folder))
     return marked.select("doc_id", "_text_key", "point").join(_group_of(points, components(links), "point"), F.col("point") == F.col("_key")).select("doc_id", "component_id", "_root", "_text_key")
 
 

@@ -50,3 +50,28 @@ def test_members_of_a_family_are_compared_with_each_other(spark):
         rows += [(3 * k, text), (3 * k + 1, other), (3 * k + 2, _changed(other, range(405, 425, 10), "y"))]  # 0.96 to the second
     found = _groups(spark, rows)
     assert all((found[3 * k], found[3 * k + 1], found[3 * k + 2]) == (3 * k, 3 * k + 1, 3 * k + 1) for k in range(40))
+
+
+def test_families_are_joined_as_by_comparing_all_pairs(spark, monkeypatch):
+    """One large family whose members are mostly under the threshold to each other, in several blocks."""
+    monkeypatch.setattr(simhash, "BLOCK_SETS", 30)
+    pick = random.Random(4)
+    text = [pick.choice(WORDS) for _ in range(204)]
+    rows = [(i, [f"{i}-{k}" if pick.random() < 0.025 else w for k, w in enumerate(text)]) for i in range(160)]
+    sets = [set(zip(*(t[k:] for k in range(5)))) for _, t in rows]
+    up = list(range(160))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(160):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    found = _groups(spark, rows)
+    expected = {i: root(i) for i in range(160)}
+    assert 1 < len(set(expected.values())) < 160 and found == expected
