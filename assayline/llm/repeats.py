@@ -258,9 +258,9 @@ def bit_field(values: DataFrame, column: str) -> np.ndarray:
     """A field of 2^FILTER_BITS bits, set where the low bits of a hash point (grams at anchors are small, so their high
     bits are alike); its size never grows."""
     bit = F.col(column).bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    words = values.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("v")).toPandas()
+    words = values.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("w")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("v")).toArrow()
     field = np.zeros(1 << (FILTER_BITS - 6), dtype=np.int64)
-    field[words["w"].to_numpy(dtype=np.int64)] = words["v"].to_numpy(dtype=np.int64)
+    field[words["w"].to_numpy()] = words["v"].to_numpy()
     return field
 
 
