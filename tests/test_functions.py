@@ -13,6 +13,23 @@ def _cell(c):
     return None if c is None else tuple(x for x in (c["kind"], c["value"], c["comparator"], c["text"]) if x is not None)
 
 
+def test_six_digits_of_the_binary_value():
+    import random
+    from decimal import ROUND_HALF_UP, Context, Decimal
+
+    import pandas as pd
+
+    pick, rule = random.Random(2), Context(prec=6, rounding=ROUND_HALF_UP)
+    numbers = [pick.uniform(-1, 1) * 10.0 ** pick.randint(-30, 30) for _ in range(3000)] + [pick.randint(1, 10**8) / 10 ** pick.randint(0, 9) for _ in range(3000)] + [1234565.0, 0.5, 999999.5, -2.5, 5e-324, 1e300, 1.0000005]
+    assert units.round_sig.func(pd.Series(numbers)).tolist() == [float(rule.create_decimal(Decimal(v))) for v in numbers]
+
+
+def test_numbers_of_all_digits(spark):
+    numbers = {0.30000000000000004: "0.30000000000000004", 1.2345678901234568e-05: "0.000012345678901234568", 1e21: "1e+21", 1.5e22: "1.5e+22", 123456789012345680000.0: "123456789012345680000", 9.999e-7: "9.999e-7", -0.000001: "-0.000001", 1e6: "1000000", 1234567.125: "1234567.125", float("inf"): None}
+    frame = spark.createDataFrame(list(enumerate(numbers)), "i int, x double").orderBy("i")
+    assert [r[0] for r in frame.select(codec.js_number(F.col("x"))).collect()] == list(numbers.values())
+
+
 def test_parse_cell(evaluate):
     cases = {
         "88": ("quantity", 88.0), "5.4": ("quantity", 5.4), ".5": ("quantity", 0.5), "<0.2": ("quantity", 0.2, "<"), "< OR = 90": ("quantity", 90.0, "<="), ">=40": ("quantity", 40.0, ">="),
