@@ -100,7 +100,8 @@ def conversion(spark, root):
     k = F.col("l_partkey") % 4
     lines = table(spark, root, "lineitem").select("l_orderkey", "l_partkey", F.when(k == 0, "mg/dL").when(k == 1, "mg/L").when(k == 3, "furlong").alias("unit"), F.col("l_extendedprice").alias("q"))
     printed = lines.select(F.col("unit").alias("printed")).distinct()
-    resolved = printed.withColumn("u", units.resolve_unit(F.col("printed"), F.lit("mg/dL"), F.lit("quantity"), F.create_map(F.lit("mg/L"), F.lit(0.001))))
+    found = units.resolve_unit(F.col("printed"), F.lit("mg/dL"), F.lit("quantity"), F.create_map(F.lit("mg/L"), F.lit(0.001)))
+    resolved = printed.withColumn("u", values.let(found, lambda u: u))
     joined = lines.join(resolved, F.col("unit").eqNullSafe(F.col("printed")))
     same, turned = joined.where("not u.ok or u.factor = 1").withColumn("v", F.col("q")), joined.where("u.ok and u.factor <> 1").withColumn("v", units.apply_factor(F.col("q"), F.col("u.factor")))
     both = same.unionByName(turned)
