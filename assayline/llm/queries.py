@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayline.llm import ann, bpe, chat, decontaminate, linededup, repeats, simhash, tokenfile, toxicity, urlfilter
+from assayline.llm import ann, bpe, chat, decontaminate, lexical, linededup, repeats, simhash, tokenfile, toxicity, urlfilter
 from assayline.llm.common import shared_folder, table
 
 
@@ -31,8 +31,10 @@ QUERIES = {
     "op8_line_dedup": lambda spark, root: linededup.line_dedup_query(table(spark, root, "documents")),
     "op9_url_filter": lambda spark, root: urlfilter.filter_urls(table(spark, root, "pages"), table(spark, root, "labels")),
     "op10_token_file": _op10,
+    "op13_lexical_search": lambda spark, root: lexical.lexical_query(table(spark, root, "documents"), table(spark, root, "benchmark")),
 }
 ORACLES = {
     "op8_line_dedup": linededup.ORACLE,
     "op9_url_filter": urlfilter.ORACLE,
+    "op13_lexical_search": lexical.ORACLE,
 }
