@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,3 +66,14 @@ def text_blocks(column: pa.Array, chars: int) -> Iterator[list[str]]:
                 block, size = [], 0
     if block:
         yield block
+
+
+def by_dimension(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(row numbers, matrix) for each dimension among the vectors of a batch; none of them is null or holds a null."""
+    starts = column.offsets.to_numpy()
+    lengths = np.diff(starts)
+    flat, out = column.values.to_numpy(zero_copy_only=False), []
+    for d in np.unique(lengths).tolist():
+        rows = np.flatnonzero(lengths == d)
+        out.append((rows, flat[starts[:-1][rows][:, None] + np.arange(d)]))
+    return out
