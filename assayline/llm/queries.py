@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assayline.llm import ann, bpe, chat, decontaminate, lexical, linededup, negatives, repeats, simhash, tokenfile, toxicity, urlfilter
+from assayline.llm import ann, bpe, chat, decontaminate, lexical, linededup, negatives, repeats, simhash, smallworld, tokenfile, toxicity, urlfilter
 from assayline.llm.common import shared_folder, table
 
 
@@ -32,11 +32,13 @@ QUERIES = {
     "op9_url_filter": lambda spark, root: urlfilter.filter_urls(table(spark, root, "pages"), table(spark, root, "labels")),
     "op10_token_file": _op10,
     "op11_hard_negatives": lambda spark, root: negatives.negatives_query(table(spark, root, "embeddings")),
+    "op12_small_world": lambda spark, root: smallworld.smallworld_query(table(spark, root, "embeddings")),
     "op13_lexical_search": lambda spark, root: lexical.lexical_query(table(spark, root, "documents"), table(spark, root, "benchmark")),
 }
 ORACLES = {
     "op8_line_dedup": linededup.ORACLE,
     "op9_url_filter": urlfilter.ORACLE,
     "op11_hard_negatives": negatives.ORACLE,
+    "op12_small_world": smallworld.ORACLE,
     "op13_lexical_search": lexical.ORACLE,
 }
