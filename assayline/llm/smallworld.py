@@ -9,8 +9,9 @@ nothing but links may have more of them: it goes to a wider beam, and from the w
 the float32 search proposes is verified by its cosine in double precision.
 
 Links are counted where they are found and never leave as pairs: a task returns for every point how many it links with
-in that shard, and a spanning forest of the links, at most one edge for each point. The components of all forests are
-those of all links.
+in the other shard, and a spanning forest of the links, at most one edge for each point. A point and its neighbour look
+for each other, in two tasks; of both counts for a point and a shard the larger is taken, so that what one of them missed
+still counts for both. The components of all forests are those of all links.
 
 Defined cases: vectors that are null, empty, zero, or hold a null or non-finite component, and rows with a null vec_id,
 link with nothing (n_links 0, a component of their own, kept); vectors meet those of their own dimension; rows that
@@ -277,29 +278,37 @@ def _loaded(nodes: pa.Table) -> tuple[SmallWorld, pa.Table, np.ndarray]:
     return SmallWorld(exact.astype(np.float32), levels, links), nodes, exact
 
 
+MET = "point long, block int, links long, other long"
+
+
 def _links_between(least: float):
-    """Function of (graph's nodes, points looked up): how many of the shard's vectors each point links with, and a forest
-    of these links."""
+    """Function of (graph's nodes, points looked up): how many of the other shard's vectors each point links with, as
+    seen from its own look-up (points looked up) or from theirs (nodes), and a forest of these links."""
 
-    def run(nodes: pa.Table, asking: pa.Table) -> pa.Table:
-        found: tuple[list, list] = ([], [])
-        edges = (np.empty(0, dtype=np.int64),) * 2
+    def run(key: tuple, nodes: pa.Table, asking: pa.Table) -> pa.Table:
+        _, shard, block = (x.as_py() for x in key)
+        rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        others = np.empty(0, dtype=np.int64)
         if nodes.num_rows and asking.num_rows:
             graph, nodes, exact = _loaded(nodes)
             points, asked = nodes["point"].to_numpy(), asking["point"].to_numpy()
-            copies, wide = nodes["copies"].to_numpy(), _matrix(asking["vector"])
+            copies, asking_copies, wide = nodes["copies"].to_numpy(), asking["copies"].to_numpy(), _matrix(asking["vector"])
             every, place = np.unique(np.concatenate([points, asked]), return_inverse=True)
             forest, near = Forest(len(every)), wide.astype(np.float32)
+            out, back = np.zeros(len(asked), dtype=np.int64), np.zeros(len(points), dtype=np.int64)
             for q, ids in graph.within(near, least - 1e-5, graph.audited(near, least - 1e-5)):
                 ids = ids[(exact[ids] @ wide[q] >= least) & (points[ids] != asked[q])]
                 if len(ids):
-                    found[0].append(asked[q])
-                    found[1].append(copies[ids].sum())
+                    out[q] = copies[ids].sum()
+                    back[ids] += asking_copies[q]
                     forest.join(np.append(place[ids], place[len(points) + q]))
-            edges = tuple(every[x] for x in forest.edges())
-        one = pa.array(np.concatenate([np.array(found[0], dtype=np.int64), edges[0]]))
-        other = pa.concat_arrays([pa.nulls(len(found[0]), pa.int64()), pa.array(edges[1])])
-        return pa.table([one, pa.array(np.concatenate([np.array(found[1], dtype=np.int64), np.zeros(len(edges[0]), dtype=np.int64)])), other], names=["point", "links", "other"])
+            one, other = forest.edges()
+            rows = [(asked[out > 0], np.full((out > 0).sum(), shard), out[out > 0]), (points[back > 0], np.full((back > 0).sum(), block), back[back > 0])]
+            rows.append((every[one], np.full(len(one), -1), np.zeros(len(one), dtype=np.int64)))
+            others = every[other]
+        columns = [np.concatenate(x) for x in zip(*rows)] or [np.empty(0, dtype=np.int64)] * 3
+        other = pa.concat_arrays([pa.nulls(len(columns[0]) - len(others), pa.int64()), pa.array(others)])
+        return pa.table([pa.array(columns[0]), pa.array(columns[1].astype(np.int32)), pa.array(columns[2]), other], names=[c.split()[0] for c in MET.split(", ")])
 
     return run
 
@@ -317,9 +326,10 @@ def near_duplicates(vectors: DataFrame, least: float) -> DataFrame:
     graphs = materialise(dealt.groupBy("dim", "shard").applyInArrow(_graph_of, NODES), "graphs", folder)
     every = F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))
     nodes = graphs.withColumn("block", every).groupBy("dim", "shard", "block")
-    asking = graphs.select("dim", F.col("shard").alias("block"), "point", "vector").withColumn("shard", every).groupBy("dim", "shard", "block")
-    met = materialise(nodes.cogroup(asking).applyInArrow(_links_between(least), "point long, links long, other long"), "met", folder)
-    counts = met.where("other is null").groupBy("point").agg(F.sum("links").alias("links"))
+    asking = graphs.select("dim", F.col("shard").alias("block"), "point", "copies", "vector").withColumn("shard", every).groupBy("dim", "shard", "block")
+    met = materialise(nodes.cogroup(asking).applyInArrow(_links_between(least), MET), "met", folder)
+    seen = met.where("other is null").groupBy("point", "block").agg(F.max("links").alias("links"))
+    counts = seen.groupBy("point").agg(F.sum("links").alias("links"))
     roots = components(met.where("other is not null").select(F.col("point").alias("a"), F.col("other").alias("b")))
     joined = points.join(roots, F.col("point") == F.col("node"), "left").withColumn("root", F.coalesce("root", "point"))
     smallest = joined.groupBy("root").agg(F.min("first").alias("component"))
