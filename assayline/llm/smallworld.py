@@ -38,8 +38,8 @@ BATCH = 512
 #: First beam of a search, widest beam before a scan, recall that the audit asks for, and its queries.
 BEAM, WIDEST = 32, 512
 AUDIT, AUDITED = 0.99, 96
-#: Points of a shard.
-SHARD = (4_096, 65_536)
+#: Points of a shard at most; below SHARDS full shards there are SHARDS smaller ones, of LEAST_SHARD points or more.
+SHARD, SHARDS, LEAST_SHARD = 65_536, 8, 1_024
 _NONE = np.float32(-np.inf)
 
 
@@ -321,7 +321,7 @@ def near_duplicates(vectors: DataFrame, least: float) -> DataFrame:
     grouped = rows.where("h is not null").groupBy("h", "vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies"))
     points = materialise(grouped.withColumn("point", F.monotonically_increasing_id()), "points", folder)
     n = points.count()
-    n_shards = -(-n // min(SHARD[1], max(SHARD[0], n // 8))) or 1
+    n_shards = max(1, -(-n // SHARD), min(SHARDS, n // LEAST_SHARD))
     dealt = points.select(F.size("vector").alias("dim"), F.pmod(F.xxhash64("point"), F.lit(n_shards)).cast("int").alias("shard"), "point", "copies", "vector")
     graphs = materialise(dealt.groupBy("dim", "shard").applyInArrow(_graph_of, NODES), "graphs", folder)
     every = F.explode(F.sequence(F.lit(0), F.lit(n_shards - 1)))

@@ -101,7 +101,7 @@ def groups(seed=3, dim=24):
     return [(int(i), v.tolist()) for i, v in zip(random.permutation(len(out)), out)]
 
 
-@pytest.mark.parametrize("shard", [(4_096, 65_536), (128, 128)])
+@pytest.mark.parametrize("shard", [65_536, 128])
 def test_links_equal_brute_force(spark, monkeypatch, shard):
     """Also with beams that start too narrow and a graph of several shards."""
     monkeypatch.setattr(smallworld, "SHARD", shard)
