@@ -393,13 +393,14 @@ def hot_spans(places: DataFrame, length: int = LENGTH) -> DataFrame:
                 for gram, n, d, t, packed, content in zip(*(part.column(k).to_pylist() for k in ("gram", "n", "_d", "_t", "place", "bytes"))):
                     if content is not None:
                         data, a, before = unpack.decompress(content), packed >> 24, packed & 4095
-                        out += [(gram, digest(data[k : k + length], before - k) - (1 << 63), n == 1, d, t, a + k) for k in range(len(data) - length + 1)]
-                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["gram", "string", "alone", "_d", "_t", "start"])
+                        out += [(gram, digest(data[k : k + length], before - k) - (1 << 63), n == 1, d, t, a, a + k) for k in range(len(data) - length + 1)]
+                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)], names=["gram", "string", "alone", "_d", "_t", "at", "start"])
 
-    strings = pieces.mapInArrow(run, "gram long, string long, alone boolean, _d long, _t int, start long")
+    # the strings of one piece all hold its anchor, so those that repeat cover one run; a text may hold several pieces
+    strings = pieces.mapInArrow(run, "gram long, string long, alone boolean, _d long, _t int, at long, start long")
     shared = strings.groupBy("gram", "string").agg(F.count("*").alias("n")).where("n > 1").select("gram", "string")
-    found = strings.where("alone").join(shared, ["gram", "string"]).groupBy("gram", "_d", "_t").agg(F.min("start").alias("a"), F.max("start").alias("b"))
+    found = strings.where("alone").join(shared, ["gram", "string"]).groupBy("gram", "_d", "_t", "at").agg(F.min("start").alias("a"), F.max("start").alias("b"))
     return whole.unionByName(found.select("_d", "_t", F.shiftleft("a", 24).bitwiseOR(F.col("b") - F.col("a") + length).alias("span")))
 
 

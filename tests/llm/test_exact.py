@@ -214,6 +214,28 @@ def test_repeated_bytes_of_frequent_passages(spark, monkeypatch):
     assert found == sorted(repr((i, *row)) for (i, _), row in zip(rows, _repeated([t for _, t in rows])))
 
 
+@pytest.mark.parametrize("hot", [3, 4_000])
+def test_passages_twice_in_one_text(spark, monkeypatch, hot):
+    """A passage that a text holds twice, far apart or overlapping itself, takes nothing that stands between with it,
+    whatever counts as a frequent gram."""
+    monkeypatch.setattr(repeats, "HOT", hot)
+    pick = random.Random(11)
+
+    def some(n):
+        return "".join(pick.choice("abcdefgh ") for _ in range(n))
+
+    passage = some(260)
+    texts = [some(pick.randint(50, 400)) + passage + some(pick.randint(50, 400)) for _ in range(8)]
+    texts.append(some(70) + passage + some(1_000) + passage + some(80))
+    texts.append(some(60) + passage[:230] + some(500) + passage[20:] + some(300) + passage)
+    texts.append(some(40) + passage[:210] + passage[30:] + some(40) + passage[5:215])
+    period = some(90)
+    texts += [some(30) + period * k + some(30) for k in (3, 4, 5, 9)] + [period * 3 + some(400) + period * 4]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r[0]: tuple(r[1:]) for r in repeats.repeats_query(frame).collect()}
+    assert [found[i] for i in range(len(texts))] == _repeated(texts)
+
+
 def test_repeated_bytes_of_documents(docs, texts):
     ids = sorted(texts)
     found = {r[0]: tuple(r[1:]) for r in repeats.repeats_query(docs).collect()}
