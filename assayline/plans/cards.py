@@ -7,8 +7,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from assayline.functions import codec
-from assayline.operators import card, layout, review, rows
+from assayline.functions import codec, shapes
+from assayline.operators import card, cardrules, documents, layout, review, rows
 from assayline.plans.matching import query
 from assayline.session import table
 
@@ -210,14 +210,23 @@ def deflate_round_trip(spark, root):
     return made.select("n_nationkey", codec.base64url(F.col("body")).alias("body"), (codec.inflate_raw(F.col("body")) == F.col("json")).alias("same"))
 
 
-@query("q53_canonical_json", None)
+@query(
+    "q53_canonical_json",
+    """SELECT n_nationkey, '{"category":[{"coding":[{"code":"laboratory","display":"Laboratory","system":"http://terminology.hl7.org/CodeSystem/observation-category"}]}],"code":{"coding":[{"code":"' || n_nationkey || '-1","display":"' || n_name
+|| ' \\"x\\"","system":"http://loinc.org"}],"text":"' || n_name || '"},"effectiveDateTime":"2026-04-17T13:40:00Z",'
+|| CASE WHEN n_nationkey % 3 <> 0 AND n_nationkey % 2 = 0 THEN '"referenceRange":[{"high":{"unit":"mg/dL","value":' || n_regionkey + 50 || '},"low":{"unit":"mg/dL","value":0}}],' ELSE '' END
+|| '"resourceType":"Observation","status":"final","subject":{"reference":"resource:0"},'
+|| CASE WHEN n_nationkey % 3 = 0 THEN '"valueCodeableConcept":{"coding":[{"code":"260385009","display":"Negative","system":"http://snomed.info/sct"}],"text":"Negative"}}'
+ELSE '"valueQuantity":{"code":"mg/dL"' || CASE WHEN n_nationkey % 5 = 0 THEN ',"comparator":"<"' ELSE '' END || ',"system":"http://unitsofmeasure.org","unit":"mg/dL","value":' || n_nationkey || CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE '.5' END || '}}' END AS canonical,
+true AS same, 'resourceType' AS forbidden FROM nation""",
+)
 def canonical(spark, root):
-    """Observations equal to their reordered copies in canonical form, and free of forbidden resources (no SQL form)."""
-    made = observation_json(spark, root).withColumn("turned", F.expr("to_json(from_json(json, 'subject struct<reference:string>, status string'))"))
-    return made.select(
-        "n_nationkey", card.canonical_json(F.col("json")).alias("canonical"), (card.canonical_json(F.col("turned")) == card.canonical_json(F.expr("to_json(from_json(json, 'status string, subject struct<reference:string>'))"))).alias("same"),
-        card.forbidden_resource(F.col("json"), F.lit("Immunization,Observation")).alias("forbidden"),
-    )
+    """The canonical form of observations, which spaces and the order of keys do not change, and the first forbidden type."""
+    made = observation_json(spark, root)
+    spaced = F.regexp_replace(F.regexp_replace("json", '":', '" : '), '^.(.*),("subject" : .*?.),(.*).$', "{ $2 , $1 , $3 }")
+    found = documents.first_of_type(made.select("n_nationkey", F.try_parse_json("json").alias("v")), "v", "observation|immunization", ["n_nationkey"])
+    same = shapes.canonical_json(spaced) == shapes.canonical_json(F.col("json"))
+    return made.join(found, "n_nationkey", "left").select("n_nationkey", shapes.canonical_json(F.col("json")).alias("canonical"), same.alias("same"), F.col("path").alias("forbidden"))
 
 
 @query("q54_two_draws_merge", "SELECT user_id, CAST(date_trunc('day', ts) AS TIMESTAMP) AS collected, count(*) AS n, count(DISTINCT event_type) AS files FROM events GROUP BY ALL")
@@ -242,3 +251,107 @@ def graded_rows(spark, root):
     graded = table(spark, root, "lineitem").select(issues.alias("issues"), value.alias("value"), F.when(F.col("l_discount") > 0.08, 1).otherwise(0).alias("soft"))
     out = graded.select(F.array_join("issues", ",").alias("issues"), rows.confidence_of(F.col("issues"), F.col("value"), F.col("soft"), F.lit(False)).alias("confidence"), rows.is_blocking(F.lit(True), F.col("value"), F.col("issues")).alias("blocked"))
     return out.groupBy("issues", "confidence", "blocked").agg(F.count("*").alias("n"))
+
+
+_ENTRY = "vc.credentialSubject.fhirBundle.entry"
+_KNOWN = "unknown key(s) not allowed: "
+#: Damage to a card: (text, what stands in its place at its first occurrence, path and message of the rule that fails,
+#: observations that the card must have for it). Where the text is a column's name, it is that column's value.
+_DAMAGE = [
+    ("", "", None, None, 1),
+    ('"status":"final"', '"status":"final","contained":[{"resourceType":"ImmunizationRecommendation"}]', f"{_ENTRY}[1].resource.contained[0].resourceType", "immunization records are not supported", 1),
+    ('#laboratory"', '#COVID19"', "vc.type[1]", "immunization records are not supported", 1),
+    ('{"iss"', '{"extra":1,"iss"', "", f"{_KNOWN}extra", 1),
+    ('"fhirVersion":"4.0.1"', '"fhirVersion":"4.3.0"', "vc.credentialSubject.fhirVersion", 'must be "4.0.1"', 1),
+    ('"type":"collection"', '"type":"batch"', "vc.credentialSubject.fhirBundle.type", 'must be "collection"', 1),
+    ('"iss":"https://', '"iss":"http://', "iss", "must equal https://example.org", 1),
+    ('#laboratory"', '#laboratory","x"', "vc.type", 'must be exactly ["https://smarthealth.cards#health-card","https://smarthealth.cards#laboratory"]', 1),
+    ('"fullUrl":"resource:1"', '"fullUrl":"resource:7"', f"{_ENTRY}[1].fullUrl", 'must be "resource:1"', 1),
+    ('"birthDate":"19', '"birthDate":"29', f"{_ENTRY}[0].resource.birthDate", "must be a valid past date", 1),
+    ('"birthDate":"', '"birthDate":"x', f"{_ENTRY}[0].resource.birthDate", "must be YYYY-MM-DD", 1),
+    ('"given":[', '"given":["",', f"{_ENTRY}[0].resource.name[0].given[0]", "too small (minimum 1)", 1),
+    ('"resourceType":"Observation"', '"resourceType":"Condition"', f"{_ENTRY}[1].resource.resourceType", 'must be "Observation"', 1),
+    ('"status":"final"', '"status":"preliminary"', f"{_ENTRY}[1].resource.status", 'must be "final"', 1),
+    ('"status":"final"', '"meta":{},"status":"final","id":"x"', f"{_ENTRY}[1].resource", f"{_KNOWN}id, meta", 1),
+    ('"code":"laboratory"', '"code":"imaging"', f"{_ENTRY}[1].resource.category[0].coding[0].code", 'must be "laboratory"', 1),
+    ('"system":"http://loinc.org","code":"', '"system":"http://loinc.org","code":"?', f"{_ENTRY}[1].resource.code.coding[0].code", "LOINC code is not in the dictionary", 1),
+    ("first_code", "X", f"{_ENTRY}[1].resource.code.coding[0].code", "this test cannot be signed", 1),
+    ('"display":"Name', '"display":"name', f"{_ENTRY}[1].resource.code.coding[0].display", "must equal the dictionary display name", 1),
+    ('"text":"Label', '"text":"label', f"{_ENTRY}[1].resource.code.text", "must equal the dictionary label", 1),
+    ("second_label", "first_label", f"{_ENTRY}[2].resource.code.coding[0].code", "duplicate LOINC code in card", 2),
+    ("all_dates", "2999", f"{_ENTRY}[1].resource.effectiveDateTime", "must not be in the future", 1),
+    ("all_dates", "1989", f"{_ENTRY}[1].resource.effectiveDateTime", "must not be before 1990-01-01", 1),
+    ('T13:40:00Z"', 'T13:40:01.5Z"', f"{_ENTRY}[2].resource.effectiveDateTime", "all observations in a card must share one effectiveDateTime", 2),
+    ('T13:40:00Z"', 'T25:40:00Z"', f"{_ENTRY}[1].resource.effectiveDateTime", "invalid date", 1),
+    ('T13:40:00Z"', 'T13:40:00"', f"{_ENTRY}[1].resource.effectiveDateTime", "must be ISO 8601 UTC (YYYY-MM-DDThh:mm:ssZ)", 1),
+    ('"subject"', '"valueCodeableConcept":{"text":"x"},"subject"', f"{_ENTRY}[1].resource", "exactly one of valueQuantity or valueCodeableConcept is required", 1),
+    ('"code":"mg/dL"', '"code":"mg/l"', f"{_ENTRY}[1].resource.valueQuantity.code", "unit must be mg/dL", 1),
+    ('"valueQuantity":{', '"valueQuantity":{"x":[],', f"{_ENTRY}[1].resource.valueQuantity", f"{_KNOWN}x", 1),
+    ('"referenceRange":[', '"referenceRange":[{},', f"{_ENTRY}[1].resource.referenceRange", "at most one referenceRange element", 1),
+    ('"low":{"value":1,"unit":"mg/dL"}', '"low":{"value":1,"unit":"g"}', f"{_ENTRY}[1].resource.referenceRange[0].low.unit", "must match the value unit", 1),
+    ('"low":{"value":1,"unit":"mg/dL"}', "", f"{_ENTRY}[1].resource.referenceRange[0]", "must have low or high", 1),
+    ('"comparator":"<"', '"comparator":"=="', f"{_ENTRY}[1].resource.valueQuantity.comparator", 'must be "<" or "<=" or ">" or ">="', 1),
+    ('"valueQuantity":{"value":', '"valueQuantity":{"value":null,"was":', f"{_ENTRY}[1].resource.valueQuantity.value", "expected number", 1),
+    ('"text":"1:', '"text":"2:', f"{_ENTRY}[5].resource.valueCodeableConcept.text", "titer must look like 1:N", 5),
+    ('"text":"Negative"', '"text":"Maybe"', f"{_ENTRY}[6].resource.valueCodeableConcept.text", "must be one of Negative, Positive", 6),
+    ('"coding":[{"system":"http://snomed.info/sct","code":"260385009","display":"Negative"}],', "", f"{_ENTRY}[6].resource", "does not match the canonical card format", 6),
+    ('"text":"1:20"', '"text":"1:20","coding":[{"system":"http://snomed.info/sct","code":"1","display":"x"}]', f"{_ENTRY}[5].resource", "does not match the canonical card format", 5),
+    ('"status":"final"', '"status":"final","status":"final"', "", "expected object", 1),
+    ('"fullUrl":"resource:1",', "", f"{_ENTRY}[1].fullUrl", "expected string", 1),
+    ('"status":"final",', "", f"{_ENTRY}[1].resource.status", 'must be "final"', 1),
+    ("sorted", "", None, None, 1),
+]
+
+
+def _cards(spark, root):
+    """A card of every order, its lines the observations (four quantities, a titer, then words), damaged by _DAMAGE in turn."""
+    lines = table(spark, root, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity"))).alias("lines"))
+    orders = table(spark, root, "orders").select("o_orderkey", "o_orderdate").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    label = lambda i: F.concat(F.lit("P"), F.lpad((F.col("o_orderkey") % 50).cast("string"), 2, "0"), F.lit("-"), F.lpad(i.cast("string"), 2, "0"))
+    effective, text, number = F.date_format("o_orderdate", "yyyy-MM-dd'T13:40:00Z'"), F.lit(None).cast("string"), F.lit(None).cast("double")
+
+    def observation(line, i):
+        k, code = i + 1, label(i + 1)
+        value = F.when(k <= 4, line["l_quantity"].cast("double") / 4)
+        words = F.when(k == 5, F.lit("1:20")).when(k > 5, F.when(k % 2 == 0, F.lit("Negative")).otherwise(F.lit("Positive")))
+        return card.observation_json(code, F.concat(F.lit("Name "), code), F.concat(F.lit("Label "), code), effective, value, F.lit("mg/dL"), F.when(k == 1, F.lit("<")).otherwise(text), F.when(k <= 4, F.lit(1.0)), number, words)
+
+    patient = card.patient_json(F.lit("Doe"), F.array(F.lit("Jordan")), F.lit("1985-01-15"), F.lit("female"))
+    whole = card.payload_json("https://example.org", F.lit(1), patient, F.transform("lines", observation), cardrules.TYPES)
+    damage = F.array(*(F.struct(F.lit(a).alias("text"), F.lit(b).alias("instead")) for a, b, *_ in _DAMAGE))
+    cards = orders.select("o_orderkey", F.size("lines").alias("n"), whole.alias("whole"), F.get(damage, (F.col("o_orderkey") % len(_DAMAGE)).cast("int")).alias("d"), label(F.lit(1)).alias("first"), label(F.lit(2)).alias("second"))
+    text, instead = F.col("d.text"), F.col("d.instead")
+    find = F.when(text == "first_code", F.concat(F.lit('"code":"'), "first", F.lit('"'))).otherwise(text)
+    instead = F.when(text == "first_code", F.lit('"code":"X"')).otherwise(instead)
+    at = F.instr("whole", find)
+    replaced = F.when((text == "") | (at == 0), F.col("whole")).otherwise(F.concat(F.substring("whole", F.lit(1), at - 1), instead, F.substring("whole", at + F.length(find), F.length("whole"))))
+    damaged = (
+        F.when(text == "second_label", F.replace("whole", "second", "first")).when(text == "all_dates", F.regexp_replace("whole", F.lit('"effectiveDateTime":"[0-9]{4}'), F.concat(F.lit('"effectiveDateTime":"'), instead)))
+        .when(text == "sorted", shapes.canonical_json(F.col("whole"))).otherwise(replaced)
+    )
+    return cards.select(F.col("o_orderkey").alias("card_id"), damaged.alias("payload"))
+
+
+_QUOTE = "'"
+_EXPECTED = ", ".join(
+    f"({k}, {n}, {'NULL' if path is None else _QUOTE + path + _QUOTE}, {'NULL' if message is None else _QUOTE + message + _QUOTE})" for k, (_, _, path, message, n) in enumerate(_DAMAGE)
+)
+
+
+@query(
+    "q59_card_rules",
+    f"""WITH n AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY ALL), d(k, least, path, message) AS (VALUES {_EXPECTED})
+SELECT o_orderkey AS card_id, n::INTEGER AS observations, CASE WHEN n >= least THEN path END AS path, CASE WHEN n >= least THEN message END AS message
+FROM orders JOIN n ON l_orderkey = o_orderkey JOIN d ON k = o_orderkey % {len(_DAMAGE)}""".replace("n::INTEGER", "CASE WHEN message = 'expected object' THEN 0 ELSE n END::INTEGER"),
+)
+def card_rules(spark, root):
+    """Every card of the orders against all rules, each rule broken by some of the cards."""
+    part = table(spark, root, "part").where("p_partkey < 50").select("p_partkey", F.explode(F.sequence(F.lit(1), F.lit(20))).alias("k"))
+    code = F.concat(F.lit("P"), F.lpad(F.col("p_partkey").cast("string"), 2, "0"), F.lit("-"), F.lpad(F.col("k").cast("string"), 2, "0"))
+    code = F.when((F.col("p_partkey") == 0) & (F.col("k") == 20), F.lit("X")).otherwise(code)
+    kind = F.when(F.col("k") <= 4, "quantity").when(F.col("k") == 5, "titer").otherwise("qualitative")
+    dictionary = part.select(
+        code.alias("code"), F.concat(F.lit("Name "), code).alias("display"), F.concat(F.lit("Label "), code).alias("text"), kind.alias("value_type"), F.when(F.col("k") <= 4, F.lit("mg/dL")).alias("ucum"),
+        F.when(F.col("k") > 5, F.array(F.lit("Negative"), F.lit("Positive"))).alias("answers"), (code == "X").alias("excluded"),
+    )
+    return cardrules.judge_cards(_cards(spark, root), dictionary, "https://example.org", F.lit("2026-07-01").cast("timestamp"))

@@ -7,6 +7,8 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+from assayline.functions import shapes
+from assayline.operators import documents
 from assayline.operators import card, checks, dictionary, layout, review, rows, table as tables
 from assayline.sources import files
 from assayline.streaming.limits import requests_per_window
@@ -110,8 +112,10 @@ def test_payload_bytes(spark):
 
 def test_strict_checks(spark):
     frame = spark.createDataFrame([('{"a":1,"b":{"resourceType":"Immunization"}}',), ('{"z":1,"a":[{"resourceType":"X"}]}',), (None,)], "doc string")
-    found = frame.select(F.array_join(card.unknown_keys(F.col("doc"), ("a",)), ",").alias("keys"), card.forbidden_resource("doc", F.lit("Immunization,X")).alias("path"), card.canonical_json("doc").alias("c")).collect()
-    assert [tuple(r) for r in found] == [("b", "b", '{"a":1,"b":{"resourceType":"Immunization"}}'), ("z", "a[0]", '{"a":[{"resourceType":"X"}],"z":1}'), ("", None, None)]
+    found = frame.select(F.array_join(card.unknown_keys(F.col("doc"), ("a",)), ",").alias("keys"), shapes.canonical_json(F.col("doc")).alias("c")).collect()
+    assert [tuple(r) for r in found] == [("b", '{"a":1,"b":{"resourceType":"Immunization"}}'), ("z", '{"a":[{"resourceType":"X"}],"z":1}'), ("", None)]
+    hits = documents.first_of_type(frame.select("doc", F.try_parse_json("doc").alias("v")), "v", "immunization|x", ["doc"]).collect()
+    assert sorted(r["path"] for r in hits) == ["a[0].resourceType", "b.resourceType"]
 
 
 def test_files(spark):
