@@ -182,6 +182,7 @@ class Windows:
         self.edits = (self.length * ERROR_RATE).astype(np.int64)
         self.q = np.minimum(Q, self.length // (self.edits + 1))
         self.bound = self.length + 1 - self.q * (self.edits + 1)
+        self.letters: dict[int, dict[int, int]] = {}
         self.parts = [Part(q, self._segments(np.flatnonzero(self.q == q)), self.codes, self.bound, self.edits) for q in np.unique(self.q).tolist()]
 
     def _segments(self, windows: np.ndarray) -> list[tuple[int, int, int, np.ndarray]]:
@@ -248,6 +249,17 @@ class Windows:
                         settled[n] |= best[item][1] == 0 and best[item][0] <= part.windows[n][0]
         return list(best.values())
 
+    def _letters(self, w: int) -> dict[int, int]:
+        """Where each character stands in a window, as bits."""
+        if w not in self.letters:
+            if len(self.letters) >= 4_096:
+                self.letters.clear()
+            places: dict[int, int] = {}
+            for i, c in enumerate(self.codes[self.of[w]][self.start[w] : self.end[w]].tolist()):
+                places[c] = places.get(c, 0) | 1 << i
+            self.letters[w] = places
+        return self.letters[w]
+
     def _better(self, codes: np.ndarray, part: Part, n: int, full: list[tuple[int, int, int, int]], best: tuple | None, known: dict) -> tuple | None:
         """The best of these bands, if it is better than ``best``: (window, edits, start, end)."""
         found = None
@@ -264,11 +276,12 @@ class Windows:
                     hit = verbatim(window, codes, low, high)
                 else:
                     begin = max(0, low - budget)
-                    key = (w, begin - low, codes[begin : max(begin, high + m + 2 * budget)].tobytes())
+                    region = codes[begin : max(begin, high + m + 2 * budget)]
+                    key = (w, begin - low, region.tobytes())
                     if key not in known:
                         if len(known) >= 4_096:
                             known.clear()
-                        hit = align(window, codes, low, high, budget)
+                        hit = align(window, codes, low, high, budget) if within(self._letters(w), m, region, budget) else None
                         known[key] = (hit[0], hit[1] - low, hit[2] - low) if hit else None
                     hit = known[key] and (known[key][0], known[key][1] + low, known[key][2] + low)
                 if hit and (hit[0], w) < min(rank(best), rank(found)):
@@ -287,6 +300,23 @@ def verbatim(window: np.ndarray, text: np.ndarray, low: int, high: int) -> tuple
     return None
 
 
+def within(letters: dict[int, int], m: int, text: np.ndarray, budget: int) -> bool:
+    """Whether a window of ``m`` characters (given by its letters' places) lies in any part of the text within the budget:
+    a column of the alignment at a time, its steps up and down as bits. Most regions that share enough q-grams end here."""
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    up, down, edits = full, 0, m
+    for c in text.tolist():
+        same = letters.get(c, 0)
+        across = (((same & up) + up) ^ up) | same
+        rise, fall = down | (full & ~(across | up)), up & across
+        edits += 1 if rise & top else -1 if fall & top else 0
+        if edits <= budget:
+            return True
+        rise, same = rise << 1 & full, same | down
+        up, down = (fall << 1 & full) | (full & ~(same | rise)), rise & same
+    return False
+
+
 def align(window: np.ndarray, text: np.ndarray, low: int, high: int, budget: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the best place of the whole window on the diagonals low..high (text minus window), widened
     by the budget; None if it needs more edits than that."""

@@ -313,6 +313,8 @@ def test_alignment_is_the_edit_distance():
         t = "".join(pick.choice("abc") for _ in range(pick.randint(1, 5))) + "".join(c for c in w if pick.random() > 0.1)
         best, hit = brute(w, t), decontaminate.align(decontaminate.code_points(w), decontaminate.code_points(t), -20, 30, 6)
         assert (hit[0] if hit else 7) == min(best, 7)
+        letters = {ord(c): sum(1 << i for i, x in enumerate(w) if x == c) for c in "abc"}
+        assert [decontaminate.within(letters, 20, decontaminate.code_points(t), k) for k in range(12)] == [best <= k for k in range(12)]
 
 
 def test_toxicity_held_out(spark):
