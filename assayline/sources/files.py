@@ -1,16 +1,19 @@
-"""Files: type by magic bytes, archives, plain-text reports."""
+"""Files: type by magic bytes, archives, the pages that a file of any kind gives."""
 
 from __future__ import annotations
 
 import io
 import re
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from assayline.operators import layout
+
 MAX_ENTRIES = 500
 MAX_TOTAL = 200 * 1024 * 1024
 # Brands of a HEIF file.
@@ -41,28 +44,94 @@ def _natural(name: str) -> list:
     return [(0, int(x), "") if x.isdigit() else (1, 0, x.lower()) for x in re.findall(r"\d+|\D+", name)]
 
 
-def expand_archives(files: DataFrame) -> DataFrame:
-    """path, entry, name, content, error of every archive (path, content): in natural order of names, without folders and
-    system files; an archive with too many or too large files gives one row with an error."""
+def _listed(archive: zipfile.ZipFile, most_bytes: int) -> list[zipfile.ZipInfo]:
+    """Files that count, in natural order; of several with one name the last."""
+    own = {i.filename: i for i in archive.infolist() if not i.is_dir() and not re.search(r"(^|/)(__MACOSX|\.DS_Store)", i.filename) and i.file_size < most_bytes}
+    return sorted(own.values(), key=lambda i: _natural(i.filename))
+
+
+def _problem(archive: zipfile.ZipFile, most_files: int, most_bytes: int) -> str | None:
+    """Why an archive is not read: by what its files really hold, not by what it declares. A chunk is held at a time."""
+    infos, total = _listed(archive, most_bytes), 0
+    if len(infos) > most_files:
+        return "too_many_files"
+    for info in infos:
+        with archive.open(info) as file:
+            while chunk := file.read(1 << 20):
+                total += len(chunk)
+                if total > most_bytes:
+                    return "too_large"
+    return None
+
+
+def expand_archives(files: DataFrame, most_files: int = MAX_ENTRIES, most_bytes: int = MAX_TOTAL) -> DataFrame:
+    """path, entry, name, content, kind, error of every file of every archive (path, content): in natural order of names,
+    without folders and system files, each by its own first bytes; an archive that is damaged, or holds too many or too
+    large files, gives one row with an error. A file at a time is in memory."""
+    columns = ["path", "entry", "name", "content", "error"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"]):
-                rows, total, error = [], 0, None
                 try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                        infos = [i for i in archive.infolist() if not i.is_dir() and not re.search(r"(^|/)(__MACOSX|\.DS_Store)", i.filename) and i.file_size < MAX_TOTAL]
-                        if len(infos) > MAX_ENTRIES:
-                            error = "too_many_files"
-                        else:
-                            for n, info in enumerate(sorted(infos, key=lambda i: _natural(i.filename))):
-                                total += info.file_size
-                                if total > MAX_TOTAL:
-                                    error = "too_large"
-                                    break
-                                rows.append((path, n, info.filename, archive.read(info), None))
-                except zipfile.BadZipFile:
+                    with zipfile.ZipFile(io.BytesIO(content or b"")) as archive:
+                        error = _problem(archive, most_files, most_bytes)
+                        for n, info in enumerate(() if error else _listed(archive, most_bytes)):
+                            yield pd.DataFrame([(path, n, info.filename, archive.read(info), None)], columns=columns)
+                except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError):  # damaged, encrypted or unknown
                     error = "unreadable"
-                yield pd.DataFrame([(path, -1, None, None, error)] if error else rows, columns=["path", "entry", "name", "content", "error"])
-
-    return files.select("path", "content").mapInPandas(run, "path string, entry int, name string, content binary, error string")
+                if error:
+                    yield pd.DataFrame([(path, -1, None, None, error)], columns=columns)
+
+    found = files.select("path", "content").mapInPandas(run, "path string, entry int, name string, content binary, error string")
+    return found.select("path", "entry", "name", "content", F.when(F.col("error").isNull(), sniff(F.col("content"))).alias("kind"), "error")
+
+
+IMAGES = ("jpeg", "png", "heic")
+#: Members of an archive that are data about pages.
+NO_PAGE = r"(?i)\.(json|xml|html?)$"
+
+
+def route_files(files: DataFrame, pdf_pages: DataFrame, ocr_pages: DataFrame) -> DataFrame:
+    """path, page, entry, method, text and error: the pages of every file (path, content, kind), numbered through, or one
+    row with the error that keeps it from being read.
+
+    A text is one page; a PDF has the pages of its text layer, or, where that layer is as good as empty, those that were
+    recognised; a photo is the page that was recognised. An archive gives its text files, else its PDFs, else its photos.
+    ``pdf_pages`` and ``ocr_pages`` (path, entry, page, text; entry -1 where the file is no archive's) hold what decoding
+    and recognition have made of the files: a file that is not in ``ocr_pages`` can't be recognised.
+
+    Errors: unsupported, no_pages (an archive without a readable file), scanned, photo, and those of expand_archives. One
+    unreadable PDF makes its archive unreadable. Defined cases: a file without content is unsupported; a PDF without
+    pages counts as scanned.
+    """
+    alone = files.where("kind is null or kind <> 'zip'").select("path", F.lit(-1).alias("entry"), F.col("path").alias("name"), "content", F.coalesce("kind", F.lit("unknown")).alias("kind"), F.lit(None).cast("string").alias("error"))
+    every = alone.unionByName(expand_archives(files.where("kind = 'zip'")))
+    packed = F.col("entry") >= 0
+    sort = F.when((F.col("kind") == "text") & ~(packed & F.col("name").rlike(NO_PAGE)), 0).when(F.col("kind") == "pdf", 1).when(F.col("kind").isin(*IMAGES), 2)
+    text = F.when(sort == 0, F.make_valid_utf8(F.col("content").cast("string")))
+    members = every.select("path", "entry", "error", sort.alias("sort"), text.alias("text"))
+    # what follows is decided on rows without content
+    light = members.select("path", "entry", "error", "sort")
+    files_of = files.where("kind = 'zip'").select("path").distinct().join(light, "path", "left").unionByName(light.where("entry = -1 and error is null"))
+    best = files_of.groupBy("path").agg(F.min("sort").alias("best"), F.max("error").alias("error"), F.max(F.coalesce(F.col("entry"), F.lit(0)) >= 0).alias("packed"))
+    layer = pdf_pages.groupBy("path", "entry").agg(F.count("*").alias("n_pdf"), F.sum(layout.readable_chars(F.col("text"))).alias("chars"))
+    seen = ocr_pages.groupBy("path", "entry").agg(F.count("*").alias("n_ocr"))
+    chosen = light.join(best.where("error is null").select("path", "best"), "path").where("sort = best").drop("best", "error")
+    sized = chosen.join(layer, ["path", "entry"], "left").join(seen, ["path", "entry"], "left")
+    scan = (F.col("sort") == 1) & F.coalesce(layout.looks_scanned(F.col("chars"), F.col("n_pdf")), F.lit(True))
+    by_ocr = scan | (F.col("sort") == 2)
+    failed = F.when(by_ocr & F.col("n_ocr").isNull(), F.when(scan, "scanned").otherwise("photo"))
+    pages = F.when(F.col("sort") == 0, 1).when(by_ocr, F.coalesce("n_ocr", F.lit(0))).otherwise(F.col("n_pdf"))
+    told = sized.select("path", "entry", "sort", by_ocr.alias("by_ocr"), failed.alias("failed"), pages.alias("pages"))
+    whole = Window.partitionBy("path")
+    told = told.withColumns({"failed": F.min("failed").over(whole), "method": F.when(F.max("by_ocr").over(whole), "ocr").otherwise("text"), "before": F.sum("pages").over(whole.orderBy("entry")) - F.col("pages")})
+    good = told.where("failed is null").select("path", "entry", "sort", "by_ocr", "method", "before")
+    own = members.where("sort = 0").select("path", "entry", F.lit(1).alias("page"), "text", F.lit(0).alias("from"))
+    decoded = pdf_pages.select("path", "entry", "page", "text", F.lit(1).alias("from")).unionByName(ocr_pages.select("path", "entry", "page", "text", F.lit(2).alias("from")))
+    wanted = F.when(F.col("by_ocr"), 2).otherwise(F.col("sort"))
+    shown = good.withColumn("from", wanted).join(own.unionByName(decoded), ["path", "entry", "from"]).select("path", (F.col("before") + F.col("page")).cast("int").alias("page"), "entry", "method", "text", F.lit(None).cast("string").alias("error"))
+    problem = F.coalesce("error", F.when(F.col("best").isNull(), F.when(F.col("packed"), "no_pages").otherwise("unsupported")))
+    errors = best.select("path", problem.alias("error")).where("error is not null").unionByName(told.where("failed is not null").select("path", F.col("failed").alias("error")).distinct())
+    nothing = F.lit(None)
+    return shown.unionByName(errors.select("path", nothing.cast("int").alias("page"), nothing.cast("int").alias("entry"), nothing.cast("string").alias("method"), nothing.cast("string").alias("text"), "error"))
