@@ -110,6 +110,10 @@ def test_query_equals_comparing_every_window(spark, monkeypatch, block, hits, le
     benchmark = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(1))
     found = [(r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.find_contamination(frame, benchmark).collect()]
     want = _contaminated(docs, items)
+    index = decontaminate.Windows([(i, decontaminate.normal(t)) for i, t in items])  # here, where the slices are small
+    assert {(d, index.item[w], e) for d, t in docs for w, e, *_ in _found(index, decontaminate.normal(t))} == {(*k, v) for k, v in want.items()} | {
+        (d, 1, e) for d, t in docs for w, e, *_ in _found(index, decontaminate.normal(t)) if index.item[w] == 1
+    }
     assert sorted(found, key=repr) == sorted(((*k, v) for k, v in want.items()), key=repr) and len(found) > 10
     kept = decontaminate.drop_contaminated(frame, benchmark)
     assert kept.columns == frame.columns
