@@ -6,6 +6,7 @@ Bindings: an order is a file, of a kind that goes by its key; a customer is a pe
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 from collections.abc import Iterator
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from assayline.operators import merge
 from assayline.plans.matching import query
 from assayline.session import table
-from assayline.sources import files
+from assayline.sources import dictionaries, files
 
 
 def _written(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -155,3 +156,74 @@ def card_observations(spark, root):
     """The included results as the card builder takes them."""
     view = _merged(spark, root).withColumns({"display": F.col("text"), "ucum": F.lit("mg/dL"), "comparator": F.lit("<"), "low": F.lit(1.0), "high": F.lit(None).cast("double")})
     return merge.observations(view)
+
+
+CATEGORIES, VENDORS = ("STANDARD", "ECONOMY", "PROMO", "SMALL", "MEDIUM", "LARGE"), ("quest", "generic")
+#: Damage to a dictionary's entry, by the part's key: text, what stands for it, path below the entry and message.
+_BROKEN = [
+    ("", "", None, None),
+    ('"loinc":"', '"loinc":"x', "loinc", "invalid format"),
+    ('"display":"', '"display":"","was":"', "display", "too small (minimum 1)"),
+    ('"category":"', '"category":"un', "category", f"must be {' or '.join(map(json.dumps, CATEGORIES))}"),
+    ('"valueType":"quantity"', '"valueType":"number"', "valueType", 'must be "quantity" or "qualitative" or "titer"'),
+    ('"ucum":"mg"', '"ucum":null', None, None),
+    ('"ucum":"mg"', '"ucum":7', "ucum", "expected string"),
+    ('"factor":0.5', '"factor":0', "unitConversions[0].factor", "too small (minimum 0)"),
+    ('"factor":0.5', '"factor":0.5,"by":1', "unitConversions[0]", "unknown key(s) not allowed: by"),
+    ('"plausible":{"min":1,', '"plausible":{"min":"1",', "plausible.min", "expected number"),
+    ('"aliases":[', '"aliases":[{"vendor":"nobody","name":"x"},', "aliases[0].vendor", 'must be "quest" or "generic"'),
+    ('"vendor":"quest","name":"', '"vendor":"quest","panel":"","name":"', "aliases[0].panel", "too small (minimum 1)"),
+    ('"excludeFromSigning":false', '"excludeFromSigning":0', "excludeFromSigning", "expected boolean"),
+    ('"excludeFromSigning":false', '"excludeFromSigning":true,"note":1', "", "unknown key(s) not allowed: note"),
+    ('"unitAliases":{"milli":"mg"}', '"unitAliases":{"milli":"mg","x":[]}', "unitAliases.x", "expected string"),
+    ('"answers":["a"]', '"answers":[]', "answers", "too small (minimum 1)"),
+]
+_SQL_BROKEN = ", ".join(f"({k}, {'NULL' if p is None else repr(p)}, {'NULL' if m is None else repr(m)})" for k, (_, _, p, m) in enumerate(_BROKEN))
+
+
+def _dictionary(spark, root) -> dictionaries.Dictionary:
+    """The parts as entries, those of a brand in a file; each tenth code is listed twice, and one file is of another version."""
+    part = table(spark, root, "part").select("p_partkey", "p_name", "p_brand", "p_type")
+    code = F.concat(F.col("p_partkey").cast("string"), F.lit("-"), (F.col("p_partkey") % 10).cast("string"))
+    text = F.concat(
+        F.lit('{"loinc":"'), code, F.lit('","display":"Part '), code, F.lit('","text":"'), "p_name", F.lit('","category":"'), "p_type", F.lit('","valueType":"quantity","ucum":"mg","unitAliases":{"milli":"mg"},"unitConversions":[{"from":"g","factor":0.5},{"from":"g","factor":3}],'),
+        F.lit('"answers":["a"],"plausible":{"min":1,"max":9.5},"aliases":[{"vendor":"quest","name":"'), F.upper("p_name"), F.lit('"},{"vendor":"generic","name":"'), "p_name", F.lit('","panel":" The  Panel"}],"excludeFromSigning":false}'),
+    )
+    damage = F.array(*(F.struct(F.lit(a).alias("find"), F.lit(b).alias("instead")) for a, b, *_ in _BROKEN))
+    d = F.get(damage, (F.col("p_partkey") % len(_BROKEN)).cast("int"))
+    made = part.withColumn("text", text).withColumn("d", d).select("p_partkey", "p_brand", F.when(F.col("d.find") == "", F.col("text")).otherwise(F.replace("text", F.col("d.find"), F.col("d.instead"))).alias("text"))
+    twice = made.select("p_brand", F.explode(F.when(F.col("p_partkey") % 10 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("n"), "p_partkey", "text")
+    grouped = twice.groupBy("p_brand").agg(F.array_sort(F.collect_list(F.struct("n", "p_partkey", "text"))).alias("all"))
+    version = F.when(F.col("p_brand") == "Brand#7", "2").otherwise("1")
+    content = F.concat(F.lit('{"schemaVersion":'), version, F.lit(',"entries":['), F.array_join(F.transform("all", lambda x: x["text"]), ","), F.lit("]}"))
+    return dictionaries.load(grouped.select(F.col("p_brand").alias("file"), content.alias("content")), CATEGORIES, VENDORS)
+
+
+_LISTED = f"""WITH d(k, path, message) AS (VALUES {_SQL_BROKEN}),
+e AS (SELECT p_partkey, p_brand, p_name, p_type, p_partkey || '-' || p_partkey % 10 AS code, n FROM part, range(2) AS r(n) WHERE p_brand <> 'Brand#7' AND (n = 0 OR p_partkey % 10 = 0)),
+l AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n, p_partkey) - 1 AS pos FROM e JOIN d ON k = p_partkey % {len(_BROKEN)})
+"""
+
+
+@query(
+    "q66_dictionary_rejects",
+    _LISTED
+    + """SELECT p_brand AS file, 'entries[' || pos || ']' || CASE WHEN path IS NULL THEN '.loinc' WHEN path = '' THEN '' ELSE '.' || path END AS path, coalesce(message, 'duplicate LOINC in dictionary: ' || code) AS message
+FROM l WHERE message IS NOT NULL OR n = 1
+UNION ALL SELECT DISTINCT p_brand, 'schemaVersion', 'must be 1' FROM part WHERE p_brand = 'Brand#7'""",
+)
+def dictionary_rejects(spark, root):
+    """The entries of a dictionary that its schema, or an earlier entry, keeps out."""
+    return _dictionary(spark, root).rejects
+
+
+@query(
+    "q67_dictionary_index",
+    _LISTED
+    + """, v AS (SELECT * FROM l WHERE message IS NULL AND n = 0)
+SELECT vendor, panel, name, string_agg(DISTINCT code, ',' ORDER BY code) AS codes FROM (SELECT 'quest' AS vendor, NULL AS panel, lower(p_name) AS name, code FROM v UNION ALL SELECT 'generic', 'the panel', lower(p_name), code FROM v) GROUP BY ALL""",
+)
+def dictionary_index(spark, root):
+    """What an alias leads to, by vendor and panel."""
+    found = _dictionary(spark, root).index()
+    return found.select("vendor", F.trim("panel").alias("panel"), "name", F.array_join("codes", ",").alias("codes"))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import datetime
 import io
+import json
 import zipfile
 
 from pyspark.sql import functions as F
 
 from assayline.operators import merge
-from assayline.sources import files
+from assayline.sources import dictionaries, files
 
 PAGES = "path string, entry int, page int, text string"
 
@@ -93,3 +94,34 @@ def test_reasons_and_problems(spark):
     found = {r["person"]: r["problems"] for r in merge.problems(view, F.lit("2025-01-01").cast("timestamp_ntz")).collect()}
     wrong = "A collection date in this report looks wrong. Leave that collection out."
     assert found == {1: ["You can create up to 12 cards at once. Leave some collections out."], 2: ["1 result still needs review.", wrong], 3: [wrong, "There are no results to add."]}
+
+
+CATEGORIES, VENDORS = ("iron", "salts"), ("quest", "generic")
+
+
+def _entry(code="1-1", **members):
+    out = {"loinc": code, "display": "D", "text": "T", "category": "iron", "valueType": "quantity", "ucum": "mg", "aliases": [{"vendor": "quest", "name": " A ,B "}]}
+    return out | members
+
+
+def test_dictionary_files(spark, tmp_path):
+    good = _entry(unitAliases={"m": "mg"}, unitConversions=[{"from": "g", "factor": 2}, {"from": "g", "factor": 3}], answers=["x"], plausible={"min": 1, "max": 2.5}, excludeFromSigning=True)
+    files_of = {
+        "a.json": {"schemaVersion": 1, "note": "n", "entries": [good, _entry("2-2", ucum=None, valueType="titer", aliases=[{"vendor": "generic", "name": "x", "panel": "P"}] * 2), _entry("3-x")]},
+        "b.json": {"schemaVersion": 1, "entries": [_entry("2-2"), 7, _entry("4-4", aliases=[]), _entry("5-5", more=1)]}, "c.json": {"schemaVersion": 2, "entries": []}, "d.json": [],
+        "e.json": {"schemaVersion": 1, "entries": []},
+    }
+    for name, content in files_of.items():
+        (tmp_path / name).write_text(json.dumps(content))
+    (tmp_path / "f.json").write_text("{")
+    read = dictionaries.read_dictionary(spark, str(tmp_path), CATEGORIES, VENDORS)
+    assert sorted(map(tuple, read.rejects.collect())) == [
+        ("a.json", "entries[2].loinc", "invalid format"), ("b.json", "entries[0].loinc", "duplicate LOINC in dictionary: 2-2"), ("b.json", "entries[1]", "expected object"), ("b.json", "entries[2].aliases", "too small (minimum 1)"),
+        ("b.json", "entries[3]", "unknown key(s) not allowed: more"), ("c.json", "schemaVersion", "must be 1"), ("d.json", "", "expected object"), ("f.json", "", "expected object"),
+    ]
+    one, two = (r.asDict() for r in read.entries.orderBy("code").collect())
+    assert one == {"code": "1-1", "display": "D", "text": "T", "category": "iron", "value_type": "quantity", "ucum": "mg", "unit_aliases": {"m": "mg"}, "conversions": {"g": 2.0}, "answers": ["x"], "low": 1.0, "high": 2.5, "excluded": True}
+    assert (two["ucum"], two["value_type"], two["unit_aliases"], two["conversions"], two["answers"], two["excluded"]) == (None, "titer", {}, {}, None, False)
+    assert sorted((r["vendor"], r["panel"] or "", r["codes"]) for r in read.index().collect()) == [("generic", "p", ["2-2"]), ("quest", "", ["1-1"])]
+    empty = dictionaries.load(spark.createDataFrame([], "file string, content string"), CATEGORIES, VENDORS)
+    assert empty.entries.count() == empty.aliases.count() == empty.rejects.count() == 0
