@@ -101,10 +101,9 @@ def conversion(spark, root):
     lines = table(spark, root, "lineitem").select("l_orderkey", "l_partkey", F.when(k == 0, "mg/dL").when(k == 1, "mg/L").when(k == 3, "furlong").alias("unit"), F.col("l_extendedprice").alias("q"))
     printed = lines.select(F.col("unit").alias("printed")).distinct()
     found = units.resolve_unit(F.col("printed"), F.lit("mg/dL"), F.lit("quantity"), F.create_map(F.lit("mg/L"), F.lit(0.001)))
-    resolved = printed.withColumn("u", values.let(found, lambda u: u))
+    resolved = printed.withColumn("u", found)
     joined = lines.join(resolved, F.col("unit").eqNullSafe(F.col("printed")))
-    same, turned = joined.where("not u.ok or u.factor = 1").withColumn("v", F.col("q")), joined.where("u.ok and u.factor <> 1").withColumn("v", units.apply_factor(F.col("q"), F.col("u.factor")))
-    both = same.unionByName(turned)
+    both = joined.withColumn("v", units.apply_factor(F.col("q"), F.col("u.factor")))
     graded = both.select("l_orderkey", "l_partkey", "unit", F.when(F.col("u.ok"), F.col("v")).alias("value"), F.col("u.missing").alias("missing"), (~F.col("u.ok")).alias("mismatch"))
     plausible = F.when(~F.col("mismatch"), units.is_plausible(F.col("value"), F.lit(20.0), F.lit(40000.0)))
     return graded.withColumn("plausible", plausible).groupBy("l_orderkey", "l_partkey", "unit", "value", "missing", "mismatch", "plausible").agg(F.count("*").alias("n"))
