@@ -16,6 +16,7 @@ from assayline.operators import layout
 
 MAX_ENTRIES = 500
 MAX_TOTAL = 200 * 1024 * 1024
+BATCH_BYTES = 8 * 1024 * 1024
 # Brands of a HEIF file.
 HEIF_BRANDS = ("heic", "heix", "hevc", "hevx", "heim", "heis", "mif1", "msf1")
 
@@ -67,21 +68,28 @@ def _problem(archive: zipfile.ZipFile, most_files: int, most_bytes: int) -> str
 def expand_archives(files: DataFrame, most_files: int = MAX_ENTRIES, most_bytes: int = MAX_TOTAL) -> DataFrame:
     """path, entry, name, content, kind, error of every file of every archive (path, content): in natural order of names,
     without folders and system files, each by its own first bytes; an archive that is damaged, or holds too many or too
-    large files, gives one row with an error. A file at a time is in memory."""
+    large files, gives one row with an error. An archive, and files of BATCH_BYTES or one larger file, are in memory."""
     columns = ["path", "entry", "name", "content", "error"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, size = [], 0
         for frame in frames:
             for path, content in zip(frame["path"], frame["content"]):
                 try:
                     with zipfile.ZipFile(io.BytesIO(content or b"")) as archive:
                         error = _problem(archive, most_files, most_bytes)
                         for n, info in enumerate(() if error else _listed(archive, most_bytes)):
-                            yield pd.DataFrame([(path, n, info.filename, archive.read(info), None)], columns=columns)
+                            rows.append((path, n, info.filename, archive.read(info), None))
+                            size += info.file_size
+                            if size >= BATCH_BYTES:
+                                yield pd.DataFrame(rows, columns=columns)
+                                rows, size = [], 0
                 except (zipfile.BadZipFile, zlib.error, RuntimeError, NotImplementedError, EOFError):  # damaged, encrypted or unknown
                     error = "unreadable"
                 if error:
-                    yield pd.DataFrame([(path, -1, None, None, error)], columns=columns)
+                    rows.append((path, -1, None, None, error))
+            yield pd.DataFrame(rows, columns=columns)
+            rows, size = [], 0
 
     found = files.select("path", "content").mapInPandas(run, "path string, entry int, name string, content binary, error string")
     return found.select("path", "entry", "name", "content", F.when(F.col("error").isNull(), sniff(F.col("content"))).alias("kind"), "error")
@@ -110,28 +118,34 @@ def route_files(files: DataFrame, pdf_pages: DataFrame, ocr_pages: DataFrame) ->
     packed = F.col("entry") >= 0
     sort = F.when((F.col("kind") == "text") & ~(packed & F.col("name").rlike(NO_PAGE)), 0).when(F.col("kind") == "pdf", 1).when(F.col("kind").isin(*IMAGES), 2)
     text = F.when(sort == 0, F.make_valid_utf8(F.col("content").cast("string")))
-    members = every.select("path", "entry", "error", sort.alias("sort"), text.alias("text"))
-    # what follows is decided on rows without content
-    light = members.select("path", "entry", "error", "sort")
-    files_of = files.where("kind = 'zip'").select("path").distinct().join(light, "path", "left").unionByName(light.where("entry = -1 and error is null"))
-    best = files_of.groupBy("path").agg(F.min("sort").alias("best"), F.max("error").alias("error"), F.max(F.coalesce(F.col("entry"), F.lit(0)) >= 0).alias("packed"))
+    # an archive without files has no other row
+    mark = files.where("kind = 'zip'").select("path", F.lit(-2).alias("entry"), F.lit(None).cast("string").alias("error"), F.lit(None).cast("int").alias("sort"), F.lit(None).cast("string").alias("text"))
+    members = every.select("path", "entry", "error", sort.alias("sort"), text.alias("text")).unionByName(mark)
     layer = pdf_pages.groupBy("path", "entry").agg(F.count("*").alias("n_pdf"), F.sum(layout.readable_chars(F.col("text"))).alias("chars"))
     seen = ocr_pages.groupBy("path", "entry").agg(F.count("*").alias("n_ocr"))
-    chosen = light.join(best.where("error is null").select("path", "best"), "path").where("sort = best").drop("best", "error")
-    sized = chosen.join(layer, ["path", "entry"], "left").join(seen, ["path", "entry"], "left")
-    scan = (F.col("sort") == 1) & F.coalesce(layout.looks_scanned(F.col("chars"), F.col("n_pdf")), F.lit(True))
-    by_ocr = scan | (F.col("sort") == 2)
-    failed = F.when(by_ocr & F.col("n_ocr").isNull(), F.when(scan, "scanned").otherwise("photo"))
-    pages = F.when(F.col("sort") == 0, 1).when(by_ocr, F.coalesce("n_ocr", F.lit(0))).otherwise(F.col("n_pdf"))
-    told = sized.select("path", "entry", "sort", by_ocr.alias("by_ocr"), failed.alias("failed"), pages.alias("pages"))
+    sized = members.join(layer, ["path", "entry"], "left").join(seen, ["path", "entry"], "left")
+    # from here on one sort by path decides what each file gives; texts move once
     whole = Window.partitionBy("path")
-    told = told.withColumns({"failed": F.min("failed").over(whole), "method": F.when(F.max("by_ocr").over(whole), "ocr").otherwise("text"), "before": F.sum("pages").over(whole.orderBy("entry")) - F.col("pages")})
-    good = told.where("failed is null").select("path", "entry", "sort", "by_ocr", "method", "before")
-    own = members.where("sort = 0").select("path", "entry", F.lit(1).alias("page"), "text", F.lit(0).alias("from"))
-    decoded = pdf_pages.select("path", "entry", "page", "text", F.lit(1).alias("from")).unionByName(ocr_pages.select("path", "entry", "page", "text", F.lit(2).alias("from")))
-    wanted = F.when(F.col("by_ocr"), 2).otherwise(F.col("sort"))
-    shown = good.withColumn("from", wanted).join(own.unionByName(decoded), ["path", "entry", "from"]).select("path", (F.col("before") + F.col("page")).cast("int").alias("page"), "entry", "method", "text", F.lit(None).cast("string").alias("error"))
-    problem = F.coalesce("error", F.when(F.col("best").isNull(), F.when(F.col("packed"), "no_pages").otherwise("unsupported")))
-    errors = best.select("path", problem.alias("error")).where("error is not null").unionByName(told.where("failed is not null").select("path", F.col("failed").alias("error")).distinct())
-    nothing = F.lit(None)
-    return shown.unionByName(errors.select("path", nothing.cast("int").alias("page"), nothing.cast("int").alias("entry"), nothing.cast("string").alias("method"), nothing.cast("string").alias("text"), "error"))
+    known = sized.withColumns({"best": F.min("sort").over(whole), "problem": F.max("error").over(whole), "packed": F.max(F.col("entry") == -2).over(whole)})
+    chosen = F.coalesce(F.col("sort") == F.col("best"), F.lit(False))
+    scan = chosen & (F.col("sort") == 1) & F.coalesce(layout.looks_scanned(F.col("chars"), F.col("n_pdf")), F.lit(True))
+    by_ocr = scan | (chosen & (F.col("sort") == 2))
+    failed = F.when(by_ocr & F.col("n_ocr").isNull(), F.when(scan, "scanned").otherwise("photo"))
+    pages = F.when(~chosen, 0).when(F.col("sort") == 0, 1).when(by_ocr, F.coalesce("n_ocr", F.lit(0))).otherwise(F.col("n_pdf"))
+    told = known.withColumns({"chosen": chosen, "by_ocr": by_ocr, "failed": failed, "pages": pages})
+    unread = F.when(F.col("best").isNull(), F.when(F.col("packed"), "no_pages").otherwise("unsupported"))
+    in_order = whole.orderBy("entry")
+    told = told.withColumns({
+        "problem": F.coalesce("problem", unread, F.min("failed").over(whole)), "method": F.when(F.max("by_ocr").over(whole), "ocr").otherwise("text"),
+        "before": F.sum("pages").over(in_order) - F.col("pages"), "number": F.row_number().over(in_order),
+    })
+    fine = F.col("problem").isNull()
+    kept = told.where((fine & F.col("chosen")) | (~fine & (F.col("number") == 1)))
+    source = F.when(fine & (F.col("sort") > 0), F.when(F.col("by_ocr"), 2).otherwise(1))
+    decoded = pdf_pages.select("path", "entry", "page", F.col("text").alias("read"), F.lit(1).alias("source")).unionByName(ocr_pages.select("path", "entry", "page", F.col("text").alias("read"), F.lit(2).alias("source")))
+    joined = kept.withColumn("source", source).join(decoded, ["path", "entry", "source"], "left")
+    shown = lambda c: F.when(fine, c)
+    return joined.select(
+        "path", shown(F.col("before") + F.coalesce("page", F.lit(1))).cast("int").alias("page"), shown(F.col("entry")).alias("entry"), shown(F.col("method")).alias("method"),
+        shown(F.when(F.col("source").isNull(), F.col("text")).otherwise(F.col("read"))).alias("text"), F.col("problem").alias("error"),
+    )
