@@ -95,10 +95,10 @@ def _results(spark, root):
 
 def _merged(spark, root):
     """The review after every fourth file has come in again, twice, and has replaced what it brought first."""
-    every = _results(spark, root)
+    every = _results(spark, root).persist()  # a store would be a table; each merge reads it several times
     again = every.where("file % 4 = 0")
     first = every.where("file % 4 <> 0").unionByName(again.where("row <= 2").withColumn("code", F.col("code") + 1).withColumn("row", F.col("row") + 50))
-    stored, view = merge.merge(first, merge.reviewed(first), again)
+    stored, view = (part.persist() for part in merge.merge(first, merge.reviewed(first), again))
     return merge.merge(stored, view, again)[1]
 
 
