@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from assayline.plans import cards, cells, intake, matching, reports, tables  # noqa: F401  (each registers its queries)
+from assayline.plans import cards, cells, intake, matching, publishing, reports, tables  # noqa: F401  (each registers its queries)
 
 QUERIES = {**matching.QUERIES}
 ORACLES = {**matching.ORACLES}

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -32,6 +33,22 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
+
+    A local session that names none gets a folder of this machine; any other has to name one.
+    """
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
+    current = context._jsc.sc().getCheckpointDir()
+    root = root or (current.get() if current.isDefined() else None)
+    if not root:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = tempfile.mkdtemp(prefix="assayline-")
+    return f"{root.rstrip('/')}/assayline-{uuid.uuid4().hex}"
+
+
 def ship_package(spark: SparkSession) -> None:
     """Give the Python workers this package, as ``--py-files`` would, once for each context. Where they can import it
     already (same folder, PYTHONPATH) this changes nothing."""
