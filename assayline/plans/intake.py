@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from assayline.operators import merge
+from assayline.operators import merge, review
 from assayline.plans.matching import query
 from assayline.session import table
 from assayline.sources import dictionaries, files
@@ -158,6 +158,43 @@ def card_observations(spark, root):
     return merge.observations(view)
 
 
+@query(
+    "q77_confirmed_results",
+    _MERGED
+    + """, t AS (SELECT *, bool_or(decision = 'included') OVER s AS taken, count(*) FILTER (WHERE decision = 'pending') OVER (PARTITION BY person, collected, code ORDER BY file, row ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS earlier FROM v WINDOW s AS (PARTITION BY person, collected, code))
+SELECT person, file, row, CASE WHEN decision <> 'pending' THEN decision WHEN code IS NOT NULL AND (taken OR earlier > 0) THEN 'excluded' ELSE 'included' END AS decision,
+  CASE WHEN decision = 'pending' THEN CASE WHEN copies > 1 THEN 'This test appears more than once for this date. Keep one and leave the other out.' WHEN no_range AND NOT mismatch THEN 'We''re less sure about this match. Compare it with your report.' ELSE 'Compare this with your report.' END END AS told FROM t""",
+    small=("row",),
+)
+def confirmed_results(spark, root):
+    """All results of a person once a reviewer has confirmed what was pending, one of each test, and what was asked of them."""
+    view = _merged(spark, root)
+    asked = view.withColumn("told", F.when(F.col("decision") == "pending", review.check_reason(F.col("issues"), F.col("confidence"))))
+    return review.confirmed(asked, ["person", "collected"], ["file", "row"]).select("person", "file", "row", "decision", "told")
+
+
+@query(
+    "q78_numbered_lines",
+    """SELECT l_orderkey, l_linenumber, l_partkey, 'r' || row_number() OVER (ORDER BY l_shipdate, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS id FROM lineitem""",
+)
+def numbered_lines(spark, root):
+    """Every line's number among all lines, by the time of its shipping."""
+    order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
+    return review.with_numbers(table(spark, root, "lineitem").select(*order), order, "id", "r").select("l_orderkey", "l_linenumber", "l_partkey", "id")
+
+
+@query(
+    "q79_probe_results",
+    """WITH n AS (SELECT l_orderkey, l_partkey, row_number() OVER w - 1 AS p, count(*) OVER (PARTITION BY l_orderkey) AS m FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice))
+SELECT l_orderkey, i::INTEGER AS i, l_partkey FROM n, range(5 + l_orderkey % 5) AS r(i) WHERE i % m = p""",
+)
+def probe_results(spark, root):
+    """The lines of an order repeated, or cut, to the size of a probe of five to nine results."""
+    lines = table(spark, root, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    n = (F.col("l_orderkey") % 5 + 5).cast("int")
+    return review.repeat_to(lines, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], n, "i").select("l_orderkey", "i", "l_partkey")
+
+
 CATEGORIES, VENDORS = ("STANDARD", "ECONOMY", "PROMO", "SMALL", "MEDIUM", "LARGE"), ("quest", "generic")
 #: Damage to a dictionary's entry, by the part's key: text, what stands for it, path below the entry and message.
 _BROKEN = [
