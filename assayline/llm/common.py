@@ -1,9 +1,11 @@
-"""What the corpus operators share: table access and the shared scratch folder."""
+"""What the corpus operators share: table access, intermediate tables in the shared folder, batches as Python values.
+
+Defined cases: a null text is an empty one in ``text_blocks``; a table without rows is written and read back with its
+columns; ``by_dimension`` takes batches without rows, but no null vectors.
+"""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,6 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assayline.session import shared_folder
+
+__all__ = ["LOWER", "UPPER", "WS", "ascii_lower", "by_dimension", "materialise", "remove_folder", "shared_folder", "table", "text_blocks"]
+
 #: ASCII white space, [\x20\x09-\x0D].
 WS = " \t\n\x0b\f\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -27,18 +33,6 @@ def ascii_lower(column: Column) -> Column:
     return F.translate(column, UPPER, LOWER)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
-
-    Only where the session names none (tests on one machine) is one made.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not root:
-        current = spark.sparkContext._jsc.sc().getCheckpointDir()
-        root = current.get() if current.isDefined() else tempfile.mkdtemp(prefix="assayline-")
-    return f"{root.rstrip('/')}/assayline-{uuid.uuid4().hex}"
-
-
 def materialise(frame: DataFrame, name: str, folder: str | None = None) -> DataFrame:
     """Write ``frame`` to the shared folder and read it back: lineage is cut, and a lost executor loses nothing."""
     spark = frame.sparkSession

@@ -1,4 +1,8 @@
-"""Connected components of a link table, by alternating large-star and small-star steps."""
+"""Connected components of a link table, by alternating large-star and small-star steps.
+
+Defined cases: links from a node to itself, or with a null end, link nothing, and a node that has no others is in no row;
+repeated and reversed links count once; without links there are no rows.
+"""
 
 from __future__ import annotations
 

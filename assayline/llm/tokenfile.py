@@ -36,6 +36,8 @@ SAMPLE_DOCS = 512
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
 BLOCK_BYTES = 4 << 20
+#: Bytes of input that a range of documents holds, and how many ranges there are at most.
+PART_BYTES, MOST_PARTS = 64 << 20, 1 << 17
 BLOCK_CHARS = 1_000_000
 REMEMBERED = 600_000
 
@@ -223,7 +225,9 @@ def write(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = END_I
         if state["ids"]:
             yield emit()
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # ranges of about PART_BYTES by Spark's estimate of the input, and no fewer than a shuffle has
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, -(-size // PART_BYTES)))
     in_order = F.col("doc_id").asc_nulls_first()
     docs.select("doc_id", "text").repartitionByRange(parts, in_order).sortWithinPartitions(in_order).mapInArrow(run, BLOCK_SCHEMA).write.parquet(f"{folder}/blocks")
     totals = spark.read.schema(BLOCK_SCHEMA).parquet(f"{folder}/blocks").groupBy("part").agg(F.sum("n_tokens").alias("n_tokens"))

@@ -3,7 +3,9 @@
 Per host, a path becomes a sequence of segments with runs of digits written ``#``. Level by level, a branch is replaced
 by the wildcard ``*`` when its parent has many narrow children (a variable segment), or when its rate of good labels
 does not differ from its parent's by more than Z standard errors (statistically similar branches are merged). What is
-left is the host's template; a template is rejected if its share of good labels, smoothed towards its host's and that towards the corpus', is under MIN_PURITY. Segments from MAX_LEVELS on belong to one branch, ``**``.
+left is the host's template; a template is rejected if its share of good labels, smoothed towards its host's and that
+towards the corpus', is under MIN_PURITY. Paths may have any number of segments: those that all paths below a branch share
+become wildcards in one step, so that there are as many steps as places where paths part.
 
 Only aggregates per (host, template) are shuffled between levels, never pages. Defined cases: a null url or one without
 ``://`` has an empty host and path and goes through the method like any other host; a page without a label counts for
@@ -147,7 +149,8 @@ n{next} AS (SELECT a.host, a.shape, a.n, a.lab, a.good,
   FROM n{k} a LEFT JOIN m{k} m ON m.host = a.host AND m.prefix = a.segs[1:{k}] AND m.seg = a.segs[{k}+1]),
 """
 
-#: The levels beyond the third change nothing here: paths in the tables have at most three segments.
+#: Written out for three levels, as paths in the tables have at most three segments. Segments that all paths below a branch
+#: share need no rule of their own here: they are merged as similar to their parent in any case.
 ORACLE = (
     r"""
 WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,

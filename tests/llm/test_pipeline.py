@@ -58,9 +58,9 @@ def test_near_duplicates(stages):
         shingles[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
     similar = lambda a, b: len(shingles[a] & shingles[b]) / max(1, len(shingles[a] | shingles[b]))
     gone = set(before) - set(after)
-    assert all(any(j != i and similar(i, j) >= 0.6 for j in before) for i in gone)
+    assert all(any(j != i and similar(i, j) >= 0.8 for j in before) for i in gone)
     left = sorted(after)
-    assert not [(i, j) for n, i in enumerate(left) for j in left[:n] if similar(i, j) >= 0.9]
+    assert not [(i, j) for n, i in enumerate(left) for j in left[:n] if similar(i, j) >= 0.8]
 
 
 def test_benchmark(spark, stages):
