@@ -226,7 +226,7 @@ def write(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int = END_I
             yield emit()
 
     # ranges of about PART_BYTES by Spark's estimate of the input, and no fewer than a shuffle has
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, -(-size // PART_BYTES)))
     in_order = F.col("doc_id").asc_nulls_first()
     docs.select("doc_id", "text").repartitionByRange(parts, in_order).sortWithinPartitions(in_order).mapInArrow(run, BLOCK_SCHEMA).write.parquet(f"{folder}/blocks")
