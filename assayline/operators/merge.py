@@ -72,11 +72,14 @@ def reviewed(results: DataFrame, reason: Column | None = None) -> DataFrame:
 def merge(stored: DataFrame, view: DataFrame, incoming: DataFrame, reason: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(stored, view) after the files of ``incoming``: ``view`` is ``reviewed(stored)``, of which only the draws that lose
     or gain rows are worked out again."""
-    now = replace_files(stored, incoming)
-    gone = _same(stored, incoming, FILE, "left_semi")
-    touched = gone.select(*DRAW).unionByName(incoming.select(*DRAW)).distinct()
-    kept = _same(view, touched, DRAW, "left_anti")
-    return now, kept.unionByName(reviewed(_same(now, touched, DRAW, "left_semi"), reason))
+    # of all rows, one shuffle by files and one by draws: joins with the touched keys would each take stored rows along again
+    own = stored.columns
+    both = stored.withColumn("_new", F.lit(False)).unionByName(_once(incoming).withColumn("_new", F.lit(True)))
+    flagged = both.withColumn("_gone", ~F.col("_new") & F.max("_new").over(Window.partitionBy(*FILE)))
+    changes = F.col("_new") | F.col("_gone")
+    kept = _same(view, flagged.where(changes), DRAW, "left_anti")
+    again = flagged.withColumn("_touched", F.max(changes).over(Window.partitionBy(*DRAW))).where("_touched and not _gone")
+    return flagged.where("not _gone").select(*own), kept.unionByName(reviewed(again.select(*own), reason))
 
 
 def draws(view: DataFrame) -> DataFrame:

@@ -83,6 +83,17 @@ def test_merge_is_idempotent_and_incremental(spark):
     assert merge.merge(stored.limit(0), view.limit(0), b.limit(0))[1].count() == 0
 
 
+def test_merge_joins_no_stored_rows_to_the_touched_keys(spark):
+    stored = spark.createDataFrame([(1, "a", 1, datetime.datetime(2020, 1, 1), "x", "X", [], "high")], RESULTS)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = merge.merge(stored, merge.reviewed(stored), stored)[1]._jdf.queryExecution().sparkPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("LeftSemi") == 0
+
+
 def test_reasons_and_problems(spark):
     frame = spark.createDataFrame([(None, [], None, True), ("x", ["unit_mismatch", "implausible"], "stone", True), ("x", ["unit_mismatch"], None, True), ("x", [], None, False), ("x", ["implausible"], None, True), ("x", ["duplicate"], None, True)], "code string, issues array<string>, unit string, valued boolean")
     assert [r[0] for r in frame.select(merge.block_reason(F.col("code"), F.col("issues"), F.col("unit"), F.col("valued"))).collect()] == [
