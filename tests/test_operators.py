@@ -138,3 +138,15 @@ def test_rate_limit_over_a_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert {(r["ip"], r["n"], r["limited"]) for r in spark.table("limits").collect()} == {("a", 12, True), ("b", 1, False), ("a", 1, False)}
+
+
+def test_units_are_joined_without_moving_their_lines(spark):
+    from assayline.plans import catalogue
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = catalogue.QUERIES["q24_conversion"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
