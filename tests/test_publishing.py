@@ -158,3 +158,8 @@ def test_limits_of_a_stream_do_not_depend_on_arrival(spark, tmp_path):
     run.awaitTermination()
     found = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect() if r["user"] != "end"]
     assert sorted(found, key=repr) == _decided(given, 10, 2)
+
+
+def test_manifests_are_parsed_once(spark):
+    found, wrong = manifest.parse(spark.createDataFrame([(1, "{}"), (2, None)], "k int, text string"), "k", "text")
+    assert found.inputFiles() and found.inputFiles() == wrong.inputFiles() and wrong.count() == 2 and found.count() == 0
