@@ -163,3 +163,17 @@ def test_limits_of_a_stream_do_not_depend_on_arrival(spark, tmp_path):
 def test_manifests_are_parsed_once(spark):
     found, wrong = manifest.parse(spark.createDataFrame([(1, "{}"), (2, None)], "k int, text string"), "k", "text")
     assert found.inputFiles() and found.inputFiles() == wrong.inputFiles() and wrong.count() == 2 and found.count() == 0
+
+
+def test_only_grams_that_terms_hold_become_rows(spark):
+    draw = random.Random(11)
+    word = lambda n: "".join(draw.choice("ab\0é") for _ in range(n))
+    long = "".join(draw.choice("abcdefgh") for _ in range(contains.STEP + 5_000))  # more than is looked at in one step
+    texts = [(i, word(draw.randrange(60))) for i in range(80)] + [(80, long), (81, long[::-1]), (82, "")]
+    terms = [word(n) for n in range(1, 14) for _ in range(3)] + [long[contains.STEP - 7 : contains.STEP + 13], long[-9:], long[-8:], long[5:900], long[5:900] + "!", "zz", "zzzzzzzzzz"]
+    t, s = spark.createDataFrame(texts, "id int, text string"), spark.createDataFrame(list(enumerate(terms)), "rank int, term string")
+    found = contains.pairs(t, s, "id", "text", "term")
+    assert "Generate" not in found._jdf.queryExecution().toString()  # before: a row for each character of a text
+    assert sorted(map(tuple, found.collect())) == sorted({(i, q) for i, x in texts for q in terms if q in x})
+    first = {r["id"]: r["term"] for r in contains.first_contained(t, s, "id", "text", "term", "rank").collect()}
+    assert first == {i: next((q for q in terms if q in x), None) for i, x in texts}
