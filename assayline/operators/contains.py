@@ -5,6 +5,9 @@ spread over it, the one that texts hold least often. A text meets only the terms
 and longer ones than the gram are then looked for in it. Texts are read twice, once to count grams and once to meet terms;
 both times only grams that pass a bit field of the terms' own become rows.
 
+Groups (``within``) of at most FEW terms need no grams: their texts are compared with each of their terms, which is a bounded
+number of comparisons for each text. Larger groups go by the grams.
+
 Defined cases: null texts hold no term; null and empty terms are in no text; a term that is listed twice (with one key) is
 one; terms and texts are compared as they are, case and accents included. Terms of equal rank: the smaller first.
 """
@@ -12,6 +15,8 @@ one; terms and texts are compared as they are, case and accents included. Terms
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +28,8 @@ from assayline.session import shared_folder
 
 #: Bytes of a gram, as many as a whole number holds, and grams of a term that are counted.
 GRAM, PLACES = 8, 64
+#: Terms of a group that are compared one by one.
+FEW = 64
 #: Bytes of texts whose grams are worked out at a time.
 STEP = 1 << 20
 #: Bits of the largest field of grams, 8 MB.
@@ -178,21 +185,61 @@ def _verified(met: DataFrame, texts: DataFrame, key: str, text: str, within: lis
     return met.where("_long is null").unionByName(longer.drop(text))
 
 
+def _dealt(texts: DataFrame, terms: DataFrame, within: list[str]) -> tuple[DataFrame | None, DataFrame | None, DataFrame]:
+    """The texts of groups of few terms, if there are groups, the texts of others, if there are any, and the others' terms."""
+    if not within:
+        return None, texts, terms
+    many = _written(terms.groupBy(*within).agg(F.count("*").alias("_n")).where(F.col("_n") > FEW).select(*within))
+    if many.isEmpty():
+        return texts, None, terms
+    return texts.join(many, within, "left_anti"), texts.join(many, within, "left_semi"), terms.join(many, within, "left_semi")
+
+
+def _same_group(texts: DataFrame, terms: DataFrame, text: str, within: list[str]) -> tuple[DataFrame, Column]:
+    """``terms`` with ``within`` under other names, and whether a text contains one of its own group."""
+    named = terms.withColumnsRenamed({c: f"_of_{c}" for c in within})
+    same = [texts[c] == named[f"_of_{c}"] for c in within]
+    return named, reduce(and_, [*same, F.contains(texts[text], named["_term"])])
+
+
 def pairs(texts: DataFrame, terms: DataFrame, key: str, text: str, term: str, within: list[str] | None = None) -> DataFrame:
     """``within``, ``key`` and ``term`` of all terms that a text contains. ``texts``: key and text, each key once; ``terms``:
     term. ``within``: columns of both that must be equal as well."""
     within = within or []
-    met = _met(texts, terms.where(F.col(term) != "").select(*within, F.col(term).alias("_term")).distinct(), key, text, within)
+    terms = terms.where(F.col(term) != "").select(*within, F.col(term).alias("_term"))
+    few, others, of_others = _dealt(texts, terms, within)
+    found = texts.select(*within, key, F.col(text).alias(term)).limit(0)
+    if few is not None:
+        named, contained = _same_group(few, terms.distinct(), text, within)
+        found = few.join(named, contained).select(*within, key, F.col("_term").alias(term))
+    met = None if others is None else _met(others, of_others.distinct(), key, text, within)
     if met is None:
-        return texts.select(*within, key, F.col(text).alias(term)).limit(0)
-    return _verified(met.withColumn("_long", _longer()), texts, key, text, within).select(*within, key, F.col("_term").alias(term))
+        return found
+    listed = _verified(met.withColumn("_long", _longer()), others, key, text, within).select(*within, key, F.col("_term").alias(term))
+    return listed if few is None else found.unionByName(listed)
 
 
 def first_contained(texts: DataFrame, terms: DataFrame, key: str, text: str, term: str, rank: str, within: list[str] | None = None) -> DataFrame:
     """``texts`` with the first ``term`` that each contains, by ``rank``, null where there is none."""
     within = within or []
-    listed = terms.where(F.col(term) != "").groupBy(*within, F.col(term).alias("_term")).agg(F.min(rank).alias("_rank"))
-    met = _met(texts, listed, key, text, within)
+    terms = terms.where(F.col(term) != "").select(*within, F.col(term).alias("_term"), F.col(rank).alias("_rank"))
+    few, others, of_others = _dealt(texts, terms, within)
+    result = [] if few is None else [_first_of_group(few, terms, key, text, term, within)]
+    if others is not None:
+        result.append(_first_by_grams(others, of_others, key, text, term, within))
+    return reduce(DataFrame.unionByName, result)
+
+
+def _first_of_group(texts: DataFrame, terms: DataFrame, key: str, text: str, term: str, within: list[str]) -> DataFrame:
+    """``first_contained`` by comparing each text with all terms of its group, in one pass over both."""
+    named, contained = _same_group(texts, terms, text, within)
+    rest = [F.any_value(texts[c]).alias(c) for c in texts.columns if c not in [*within, key]]
+    least = F.min(F.when(F.col("_term").isNotNull(), F.struct("_rank", "_term")))
+    return texts.join(named, contained, "left").groupBy(*within, key).agg(*rest, least["_term"].alias(term))
+
+
+def _first_by_grams(texts: DataFrame, terms: DataFrame, key: str, text: str, term: str, within: list[str]) -> DataFrame:
+    met = _met(texts, terms.groupBy(*within, "_term").agg(F.min("_rank").alias("_rank")), key, text, within)
     if met is None:
         return texts.withColumn(term, F.lit(None).cast("string"))
     least = F.min(F.struct("_rank", "_term")).alias("_f")

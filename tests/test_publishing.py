@@ -177,3 +177,21 @@ def test_only_grams_that_terms_hold_become_rows(spark):
     assert sorted(map(tuple, found.collect())) == sorted({(i, q) for i, x in texts for q in terms if q in x})
     first = {r["id"]: r["term"] for r in contains.first_contained(t, s, "id", "text", "term", "rank").collect()}
     assert first == {i: next((q for q in terms if q in x), None) for i, x in texts}
+
+
+def test_small_groups_are_compared_without_grams(spark):
+    draw = random.Random(12)
+    word = lambda n: "".join(draw.choice("abc") for _ in range(n))
+    texts = [(i, draw.choice([0, 1, 2, None]), word(draw.randrange(30)), i * 2) for i in range(150)] + [(150, 1, None, 0)]
+    terms = [(i, k, word(draw.randrange(1, 12))) for k, n in ((0, 5), (1, contains.FEW), (2, contains.FEW + 1), (None, 3)) for i in range(n)] + [(99, 0, ""), (99, 0, None)]
+    t, s = spark.createDataFrame(texts, "id int, k int, text string, other int"), spark.createDataFrame(terms, "rank int, k int, term string")
+    inside = lambda k, x: [(r, q) for r, m, q in terms if k is not None and k == m and x and q and q in x]
+    for group, limit in ((t, s), (t.where("k < 2"), s.where("k < 2"))):
+        known = {i for i, in group.select("id").collect()}
+        found = contains.pairs(group, limit, "id", "text", "term", ["k"])
+        assert sorted(map(tuple, found.collect())) == sorted({(k, i, q) for i, k, x, _ in texts if i in known for _, q in inside(k, x)})
+        first = contains.first_contained(group, limit, "id", "text", "term", "rank", ["k"])
+        assert {(r["id"], r["k"], r["text"], r["other"], r["term"]) for r in first.collect()} == {(i, k, x, o, min(inside(k, x), default=(0, None))[1]) for i, k, x, o in texts if i in known}
+        assert first.count() == len(known)
+    plan = first._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "MapInArrow" not in plan  # before: a row for each character of a text
