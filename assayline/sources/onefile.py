@@ -21,6 +21,8 @@ from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -32,8 +34,8 @@ from assayline.functions import codec
 from assayline.operators import card
 
 FORMAT = "one_file_each"
-#: Files that are moved at a time.
-MOVERS = 16
+#: Files that are moved at a time, and how many a thread takes at once.
+MOVERS, RUN = 16, 500
 #: Bytes and files that one task reads at least, where there are that many.
 SHARE, MOST = 64 << 20, 10_000
 JOB = "_job-"
@@ -68,7 +70,7 @@ class OneFileEach(DataSource):
         return "path string, content binary"
 
     def reader(self, schema: StructType) -> DataSourceReader:
-        return OneFileReader(self.options["path"])
+        return OneFileReader(self.options["path"], self.options.get("suffix", ""), self.options.get("deep", "true") == "true")
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
         made = OneFileWriter(self.options["path"], schema, overwrite)
@@ -77,16 +79,22 @@ class OneFileEach(DataSource):
         return made
 
 
+def _runs(names: pa.Array, of: int) -> list[pa.Array]:
+    """Runs of names for a thread to take one after the other, short enough that of so many names each thread has its share."""
+    size = min(RUN, -(-of // MOVERS))
+    return [names.slice(at, size) for at in range(0, len(names), size)] if size else []
+
+
 class OneFileReader(DataSourceReader):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, suffix: str, deep: bool) -> None:
+        self.path, self.suffix, self.deep = path, suffix, deep
 
     def partitions(self) -> list[InputPartition]:
         store, folder = open_folder(self.path)
         shares, size = [Share([])], 0
-        for info in store.get_file_info(fs.FileSelector(folder, recursive=True)):
+        for info in store.get_file_info(fs.FileSelector(folder, recursive=self.deep)):
             inside = info.path[len(folder) :]
-            if not info.is_file or inside.startswith(f"/{JOB}"):
+            if not info.is_file or inside.startswith(f"/{JOB}") or not inside.endswith(self.suffix):
                 continue
             if size >= SHARE or len(shares[-1].paths) >= MOST:
                 shares.append(Share([]))
@@ -126,16 +134,26 @@ class OneFileWriter(DataSourceWriter):
 
     def commit(self, messages: list[Attempt | None]) -> None:
         store, folder = open_folder(self.path)
-        written = [f for m in messages if m for f in store.get_file_info(fs.FileSelector(m.folder))]
-        names = {f.base_name for f in written}
-        if len(names) < len(written):
+        attempts = [m.folder for m in messages if m]
+        written = [pa.array([f.base_name for f in store.get_file_info(fs.FileSelector(a))], pa.large_string()) for a in attempts]
+        names = pa.chunked_array(written, pa.large_string())
+        if pc.count_distinct(names).as_py() < len(names):
             self.abort(messages)
             raise ValueError("a name of a file comes twice")
+
+        def move(at: str, some: pa.Array) -> None:
+            for name in some.to_pylist():
+                store.move(f"{at}/{name}", f"{folder}/{name}")
+
+        def delete(some: pa.Array) -> None:
+            for name in some.to_pylist():
+                store.delete_file(f"{folder}/{name}")
+
         with ThreadPoolExecutor(MOVERS) as pool:
             if self.overwrite:
-                there = store.get_file_info(fs.FileSelector(folder))
-                list(pool.map(store.delete_file, [f.path for f in there if f.is_file and f.base_name not in names]))
-            list(pool.map(lambda f: store.move(f.path, f"{folder}/{f.base_name}"), written))
+                there = pa.array([f.base_name for f in store.get_file_info(fs.FileSelector(folder)) if f.is_file], pa.large_string())
+                list(pool.map(delete, _runs(there.filter(pc.invert(pc.is_in(there, names.combine_chunks()))), len(there))))
+            list(pool.map(lambda m: move(*m), [(a, run) for a, own in zip(attempts, written, strict=True) for run in _runs(own, len(names))]))
         self._clean(store, folder)
 
     def abort(self, messages: list[Attempt | None]) -> None:
@@ -150,8 +168,11 @@ class OneFileWriter(DataSourceWriter):
 
 def write_files(files: DataFrame, folder: str, mode: str = "append") -> None:
     """One file in ``folder`` for each row of ``files`` (name, content)."""
-    files.sparkSession.dataSource.register(OneFileEach)
-    files.select("name", "content").write.format(FORMAT).mode(mode).save(folder)
+    spark = files.sparkSession
+    spark.dataSource.register(OneFileEach)
+    # a file costs the same however small it is, so that rows must not be put together by their bytes
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    files.select("name", "content").repartition(tasks, "name").write.format(FORMAT).mode(mode).save(folder)
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -161,9 +182,11 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_texts(spark: SparkSession, folder: str, suffix: str = "") -> DataFrame:
-    """name, content of the text files of a folder."""
-    found = spark.read.option("pathGlobFilter", f"*{suffix}").text(folder, wholetext=True)
-    return found.select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("content"))
+    """name, content of the text files of a folder, not of those below it; names with a leading dot or underscore are left
+    out. Many small files make one task, which Spark's own reader would deal out a few at a time."""
+    spark.dataSource.register(OneFileEach)
+    found = spark.read.format(FORMAT).options(suffix=suffix, deep="false").load(folder).withColumn("name", F.substring("path", 2, 1 << 30))
+    return found.where(~F.substring("name", 1, 1).isin(".", "_")).select("name", F.col("content").cast("string").alias("content"))
 
 
 def card_files(cards: DataFrame, prefix: str, within: list[str], date: str, order: list[str], token: Column) -> DataFrame:

@@ -195,3 +195,21 @@ def test_small_groups_are_compared_without_grams(spark):
         assert first.count() == len(known)
     plan = first._jdf.queryExecution().toString()
     assert "Generate" not in plan and "MapInArrow" not in plan  # before: a row for each character of a text
+
+
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    folder = tmp_path / "out"
+    made = spark.range(0, 700, 1, 1).select(F.concat(F.lit("é"), "id", F.lit(".txt")).alias("name"), F.concat(F.col("id").cast("string"), F.lit("\n")).alias("content"))
+    onefile.write_files(made, str(folder))
+    (folder / "deep").mkdir()
+    for name in (".hidden.txt", "_hidden.txt", "other.md", "deep/a.txt"):
+        (folder / name).write_text("no")
+    (folder / "empty.txt").write_text("")
+    read = onefile.read_texts(spark, str(folder), ".txt")
+    assert {tuple(r) for r in read.collect()} == {(f"é{i}.txt", f"{i}\n") for i in range(700)} | {("empty.txt", "")}
+    assert read.rdd.getNumPartitions() == 1  # before: one for 32 files each
+    onefile.write_files(made.limit(3), str(folder), "overwrite")
+    assert sorted(p.name for p in folder.iterdir()) == ["deep", "é0.txt", "é1.txt", "é2.txt"] and (folder / "deep" / "a.txt").exists()
+    with pytest.raises(Exception, match="name"):
+        made.select(F.lit("same").alias("name"), "content").limit(2).repartition(2).write.format(onefile.FORMAT).mode("append").save(str(folder))
+    assert len(list(folder.iterdir())) == 4
