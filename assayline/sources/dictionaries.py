@@ -68,7 +68,7 @@ def read_dictionary(spark: SparkSession, path: str, categories: tuple[str, ...],
 def load(files: DataFrame, categories: tuple[str, ...], vendors: tuple[str, ...]) -> Dictionary:
     """The dictionary of ``files`` (file, content)."""
     parsed = files.select("file", F.try_parse_json("content").alias("_v"))
-    whole = parsed.select("file", FILE(F.col("_v"), "$", Name()).alias("_issue"), shapes.elements(member(F.col("_v"), "$.entries")).alias("_entries"))
+    whole = parsed.select("file", FILE(F.col("_v"), "$", Name()).alias("_issue"), shapes.elements(F.col("_v"), "$.entries").alias("_entries"))
     broken = whole.where("_issue is not null").select("file", "_issue.path", "_issue.message")
     listed = whole.where("_issue is null").select("file", F.posexplode("_entries").alias("at", "e"))
     place = F.concat(F.lit("entries["), F.col("at").cast("string"))
@@ -79,7 +79,7 @@ def load(files: DataFrame, categories: tuple[str, ...], vendors: tuple[str, ...]
     rejects = broken.unionByName(checked.where("_issue is not null").select("file", "_issue.path", "_issue.message")).unionByName(again)
 
     e, text = F.col("e"), lambda at: text_of(F.col("e"), at)
-    pairs = F.transform(shapes.elements(member(e, "$.unitConversions")), lambda c: F.struct(text_of(c, "$.from").alias("k"), F.try_variant_get(c, "$.factor", "double").alias("v")))
+    pairs = F.transform(shapes.elements(e, "$.unitConversions"), lambda c: F.struct(text_of(c, "$.from").alias("k"), F.try_variant_get(c, "$.factor", "double").alias("v")))
     once = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, F.lit(1), i), lambda q: q["k"] == p["k"]))
     number = lambda at: F.try_variant_get(e, at, "double")
     kept = valid.where("_nth = 1")
@@ -90,6 +90,6 @@ def load(files: DataFrame, categories: tuple[str, ...], vendors: tuple[str, ...]
         F.try_variant_get(e, "$.answers", "array<string>").alias("answers"), number("$.plausible.min").alias("low"), number("$.plausible.max").alias("high"),
         F.coalesce(F.try_variant_get(e, "$.excludeFromSigning", "boolean"), F.lit(False)).alias("excluded"),
     )
-    each = kept.select("code", F.explode(shapes.elements(member(e, "$.aliases"))).alias("a"))
+    each = kept.select("code", F.explode(shapes.elements(e, "$.aliases")).alias("a"))
     aliases = each.select("code", text_of(F.col("a"), "$.vendor").alias("vendor"), names.normalize_name(text_of(F.col("a"), "$.panel")).alias("panel"), names.normalize_name(text_of(F.col("a"), "$.name")).alias("name")).distinct()
     return Dictionary(entries, aliases, rejects)
